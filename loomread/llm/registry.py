@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomread.llm import chat, decontamination, licenses, rules, sharding, warc
+from loomread.llm import chat, decontamination, licenses, rules, sharding, suffixes, warc
 
 QUERIES = {
     "op2_warc_segments": warc.op2_warc_segments,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_license_scan": licenses.op5_license_scan,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_sharding": sharding.op10_sharding,
