@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from loomread.llm import chat, decontamination, licenses, rules, sharding, suffixes, warc
+from loomread.llm import chat, decontamination, licenses, nearest, rules, sharding, suffixes, warc
 
 QUERIES = {
     "op2_warc_segments": warc.op2_warc_segments,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_minhash_forest": nearest.op6_minhash_forest,
     "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
@@ -18,6 +19,7 @@ ORACLE_SQL = {
     "op2_warc_segments": warc.SQL_WARC,
     "op4_quality_rules": rules.SQL_RULES,
     "op5_license_scan": licenses.SQL_LICENSES,
+    "op6_minhash_forest": nearest.SQL_NEAR,
     "op8_decontamination": decontamination.SQL_DECONTAMINATION,
     "op10_sharding": sharding.SQL_SHARDING,
 }
