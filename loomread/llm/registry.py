@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomread.llm import chat, decontamination, licenses, nearest, rules, sharding, suffixes, warc
+from loomread.llm import chat, decontamination, licenses, nearest, rules, sharding, suffixes, warc, weighting
 
 QUERIES = {
+    "op1_context_weighting": weighting.op1_context_weighting,
     "op2_warc_segments": warc.op2_warc_segments,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_license_scan": licenses.op5_license_scan,
