@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from loomread.llm import chat, decontamination, licenses, nearest, rules, sharding, suffixes, warc, weighting
+from loomread.llm import chat, decontamination, licenses, nearest, pieces, rules, sharding, suffixes, warc, weighting
 
 QUERIES = {
     "op1_context_weighting": weighting.op1_context_weighting,
     "op2_warc_segments": warc.op2_warc_segments,
+    "op3_sentencepiece_nbest": pieces.op3_sentencepiece_nbest,
     "op4_quality_rules": rules.op4_quality_rules,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_minhash_forest": nearest.op6_minhash_forest,
