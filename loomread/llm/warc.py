@@ -146,6 +146,9 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     def records(batches, segmented):
         import pyarrow as pa
+        import zstandard
+
+        packed = zstandard.ZstdCompressor(level=3).compress  # segments are shuffled
 
         kinds = [("page_id", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
                  ("payload", pa.binary()), ("valid", pa.bool_()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
@@ -171,7 +174,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     pass
                 elif segmented:
                     rows.append((page, kind, rid, None, fields.get("warc-payload-digest"), None, None, None, fields.get("warc-segment-origin-id", rid), int(fields["warc-segment-number"]),
-                                 int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, block))
+                                 int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, packed(block)))
                 else:
                     rows.append((*_finished(page, kind, rid, fields.get("warc-refers-to"), fields.get("warc-payload-digest"), block, with_payload), None, None, None, None))
                 fields = None
@@ -186,12 +189,15 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
     def together(batches):
         import pyarrow as pa
+        import zstandard
+
+        unpacked = zstandard.ZstdDecompressor().decompress
 
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.bool_()]
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                block = b"".join(p["block"] for p in r["parts"])
+                block = b"".join(unpacked(p["block"]) for p in r["parts"])
                 whole = [p["number"] for p in r["parts"]] == list(range(1, len(r["parts"]) + 1)) and len(block) == r["total"]
                 rows.append(_finished(r["page_id"], r["record_type"], r["origin"], None, r["said"], block if whole else None, with_payload))
             if rows:
