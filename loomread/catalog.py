@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomread.plans import kmers
+
+FAMILIES = [kmers]
+QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
+ORACLE_SQL = {k: v for f in FAMILIES for k, v in f.ORACLE_SQL.items()}
