@@ -85,10 +85,33 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def least_owner(pieces: list[bytes], owners: np.ndarray, length: int) -> list[np.ndarray]:
+def _least_by_shares(s, sizes, owners, length, most):
+    """least_owner() where one anchor has very many pieces: windows are dealt by a hash, and each share is sorted alone."""
+    starts = np.cumsum(np.append(0, sizes[:-1] + 1))
+    counts = sizes - length + 1
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    owner = np.repeat(owners, counts)
+    words = words_at(np.concatenate([s, np.zeros(length, np.uint8)]), "<u8")
+    h = (words[at] * np.uint64(0x9E3779B97F4A7C15) + words[at + length // 2]) * np.uint64(0xC2B2AE3D27D4EB4F) + words[at + length - 8]
+    shares = -(-len(at) * length // most)
+    share = (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(shares)
+    least = np.empty(len(at), np.int64)
+    for k in range(shares):
+        own = np.flatnonzero(share == k)
+        if len(own):
+            _, to = np.unique(s[at[own][:, None] + np.arange(length)].view(f"V{length}").ravel(), return_inverse=True)
+            found = np.full(to.max() + 1, NO_ID, np.int64)
+            np.minimum.at(found, to, owner[own])
+            least[own] = found[to]
+    return np.split(least, np.cumsum(counts)[:-1])
+
+
+def least_owner(pieces: list[bytes], owners: np.ndarray, length: int, most: int = 4 << 20) -> list[np.ndarray]:
     """For each piece and each of its windows of ``length`` bytes, the least owner of a piece that has that window too."""
     s = np.frombuffer(b"\0".join(p.translate(_UP) for p in pieces) + b"\0", np.uint8)
     sizes = np.array([len(p) for p in pieces])
+    if len(s) > most:
+        return _least_by_shares(s, sizes, owners, length, most)
     starts = np.cumsum(np.append(0, sizes[:-1] + 1))
     piece = np.repeat(np.arange(len(pieces)), sizes + 1)
     fits = (starts + sizes)[piece] - np.arange(len(s)) >= length
@@ -275,10 +298,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     by_key.setdefault(k, []).append(p)
                 elif o < least[p]:
                     least[p] = o
-        # a piece that is the only one with its anchor shares its windows with no other piece
-        met = [p for ps in by_key.values() if len(ps) > 1 for p in ps]
-        runs = {p: (b"\x01", bytes([len(p) - length + 1]), least[p].to_bytes(8, "little")) for p in least}
-        if met:
+        # a piece that is the only one with its anchor shares its windows with no other piece; pieces of one anchor stay in one batch
+        runs = {p: (b"\x01", bytes([len(p) - length + 1]), o.to_bytes(8, "little")) for p, o in least.items()}
+        for met in _batches([ps for ps in by_key.values() if len(ps) > 1]):
             for p, own in zip(met, least_owner(met, np.array([least[p] for p in met], np.int64), length)):
                 heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 runs[p] = (bytes([len(heads)]), np.diff(np.append(heads, len(own))).astype(np.uint8).tobytes(), own[heads].tobytes())
@@ -322,6 +344,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return with_answers(blocks, known, cut, schema)
 
 
+def _batches(groups: list[list[bytes]], most: int = 1 << 20):
+    """The groups' pieces in batches of about ``most`` bytes, a group whole."""
+    out, size = [], 0
+    for g in groups:
+        if size > most:
+            yield out
+            out, size = [], 0
+        out += g
+        size += sum(map(len, g))
+    if out:
+        yield out
+
+
 def _results(x: _Block, gone: np.ndarray, change, schema, kinds, text_col, with_text, new):
     import pyarrow as pa
 

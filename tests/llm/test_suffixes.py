@@ -47,6 +47,8 @@ def test_least_owner():
     own = least_owner([a, b], np.array([5, 2]), 50)
     assert own[1].tolist() == [2] * (len(b) - 49)
     assert own[0].tolist() == [5] * 3 + [2] * (len(a) - 49 - 3)
+    dealt = least_owner([a, b], np.array([5, 2]), 50, most=60)
+    assert [x.tolist() for x in dealt] == [x.tolist() for x in own]
 
 
 def test_anchors_cover_each_window_once():
