@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomread.storage import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,7 +53,8 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", te
     grams = windows.select("gram", "n").distinct()
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``window`` numbers
 
-    words = docs.select(F.struct(F.col(doc_id).alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text")).alias("doc_key"), words_of(F.col(text)).alias("w"))
+    texts = docs.select(F.struct(F.col(doc_id).alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text")).alias("doc_key"), F.col(text).alias("t"))
+    words = texts.select("doc_key", words_of(F.col("t")).alias("w"))
     found = []
     if window in lengths:
         # a column for the hashes: inside a lambda they would be computed anew for each element
@@ -69,10 +72,12 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", te
     for f in found[1:]:
         keys = keys.unionByName(f)
 
-    some = words.join(keys.distinct(), "doc_key", "left_semi")
+    keys = stored(keys.distinct(), "leak-candidates")
+    # texts, not words, meet the keys, and are split after that
+    some = texts.join(_near(keys, broadcast_rows), "doc_key", "left_semi").select("doc_key", words_of(F.col("t")).alias("w"))
     runs = some.select("doc_key", F.explode_outer(F.array(*[F.lit(m) for m in lengths])).alias("m"), "w").where(F.size("w") >= F.col("m")).select(
         "doc_key", "m", F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1), lambda i: F.array_join(F.slice("w", i, F.col("m")), " "))).alias("at", "gram"))
-    hits = runs.join(_near(grams, broadcast_rows), "gram", "left_semi")
+    hits = stored(runs.join(_near(grams, broadcast_rows), "gram", "left_semi"), "leak-hits")
     covered = hits.select("doc_key", F.explode_outer(F.sequence(F.col("at"), F.col("at") + F.col("m") - 1)).alias("word")).distinct().groupBy("doc_key").agg(F.count("*").alias("n_hit"))
     items = hits.select("doc_key", "gram").distinct().join(_near(windows.select("item", "gram"), broadcast_rows), "gram").groupBy("doc_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     return covered.join(items, "doc_key")
