@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomread.plans import kmers
+from loomread.plans import kmers, stats
 
-FAMILIES = [kmers]
+FAMILIES = [kmers, stats]
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE_SQL = {k: v for f in FAMILIES for k, v in f.ORACLE_SQL.items()}
