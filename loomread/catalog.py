@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomread.plans import keys, kmers, stats
+from loomread.plans import keys, kmers, relations, stats
 
-FAMILIES = [kmers, stats, keys]
+FAMILIES = [kmers, stats, keys, relations]
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE_SQL = {k: v for f in FAMILIES for k, v in f.ORACLE_SQL.items()}
