@@ -115,19 +115,21 @@ def stream(words: list[bytes]) -> bytes:
     return b" ".join(words) + b"\n"
 
 
-def grams(streams: list[bytes], depth: int) -> np.ndarray:
-    """For each byte of each stream: the depth bytes before it, latest first (0 before the start), and the byte."""
-    data = np.frombuffer(b"".join(b"\0" * depth + s for s in streams), np.uint8).astype(np.uint64)
-    if not len(data):
+def grams(streams: list[bytes], depth: int, part: int = 1 << 18) -> np.ndarray:
+    """For each byte of each stream: the depth bytes before it, latest first (0 before the start), and the byte; depth up to 7."""
+    data = np.frombuffer(b"".join(b"\0" * 7 + s for s in streams), np.uint8)
+    n = len(data) - 7
+    if n < 1:
         return np.zeros(0, np.uint64)
-    sizes = np.array([len(s) + depth for s in streams])
-    real = np.ones(len(data), bool)
-    real[(np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)] = False
-    n = len(data) - depth
-    key = data[depth:].copy()
-    for k in range(1, depth + 1):
-        key |= data[depth - k:depth - k + n] << np.uint64(8 * (depth + 1 - k))
-    return key[real[depth:]]
+    words = np.ndarray(n, "<u8", data.data, strides=(1,))  # ends with the byte itself, which is the highest
+    key = np.empty(n, np.uint64)
+    for i in range(0, n, part):
+        w = words[i:i + part]
+        key[i:i + part] = (w << np.uint64(8)) >> np.uint64(64 - 8 * depth) << np.uint64(8) | w >> np.uint64(56)
+    sizes = np.array([len(s) + 7 for s in streams])
+    real = np.ones(n + 7, bool)
+    real[(np.cumsum(sizes) - sizes)[:, None] + np.arange(7)] = False
+    return key[real[7:]]
 
 
 class Table:
@@ -143,20 +145,23 @@ class Table:
             self.slots[slot[free]] = left[free]
             lost = self.slots[slot] != left
             left, slot = left[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
+        self.by_slot = np.where(self.slots < 0, np.uint64(1 << 63), keys[self.slots])  # no key has the highest bit
 
     def _slot(self, keys):
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def laid(self, values: np.ndarray) -> np.ndarray:
+        """Values of the keys in the order of the slots."""
+        return values[self.slots]
+
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key; all are there."""
+        """The slot of each key; all are there."""
         slot = self._slot(keys)
-        at = self.slots[slot]
-        wrong = np.flatnonzero(self.keys[at] != keys)
+        wrong = np.flatnonzero(self.by_slot[slot] != keys)
         while len(wrong):
             slot[wrong] = (slot[wrong] + 1) & ((1 << self.bits) - 1)
-            at[wrong] = self.slots[slot[wrong]]
-            wrong = wrong[self.keys[at[wrong]] != keys[wrong]]
-        return at
+            wrong = wrong[self.by_slot[slot[wrong]] != keys[wrong]]
+        return slot
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -183,10 +188,14 @@ def _block(payload, text_col, held_col):
 
 def _distinct(streams, held, depth):
     """Distinct grams of a block in the order of _deal() and key, with their counts in streams that are not held out."""
-    u = np.unique(grams(streams, depth))
-    t, c = np.unique(grams([s for s, h in zip(streams, held) if not h], depth), return_counts=True)
-    n = np.zeros(len(u), np.uint32)
-    n[np.searchsorted(u, t)] = c
+    key = grams(streams, depth)
+    key <<= np.uint64(1)
+    key |= np.repeat(np.array([not h for h in held], np.uint64), [len(s) for s in streams])  # the lowest bit: it counts
+    key.sort()
+    train = np.cumsum(key & np.uint64(1), dtype=np.int64)
+    key >>= np.uint64(1)
+    last = np.flatnonzero(np.append(key[1:] != key[:-1], len(key) > 0))
+    u, n = key[last], np.diff(train[last], prepend=0).astype(np.uint32)
     deal = _deal(u, depth)
     by = np.argsort(deal, kind="stable")
     return u[by], n[by], deal[by]
@@ -325,10 +334,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             table, words, streams, held = _block(payload, "text", "held")
             keys, _, _ = _distinct(streams, held, depth)
             find = Table(keys)
-            part = []
+            laid, part = find.laid(bits), []
             for i in range(0, len(streams), 256):  # some texts at a time
                 few = streams[i:i + 256]
-                each = bits[find.find(grams(few, depth))]
+                each = laid[find.find(grams(few, depth))]
                 part.append(np.add.reduceat(each, np.cumsum([0, *map(len, few[:-1])])))
             code = np.concatenate(part)
             for d, w, s, h, c in zip(table.column("doc_id").to_pylist(), words, streams, held, code.tolist()):
