@@ -30,7 +30,7 @@ def unpack(payload):
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all()
 
 
-def blocked(docs: DataFrame, text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def blocked(docs: DataFrame, text_col: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """(block, n_rows, n_bytes, payload): every row of ``docs``, all its columns as Arrow data, about block_bytes of text each.
 
     A block takes whole rows in the order in which a task reads them; a longer text is a block of its own. The table is
