@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomread.storage import scratch, stored
 
+NO_ID = -(1 << 63)  # stands for a null id: before all others
 BREAK = b"\r\n\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -84,12 +85,15 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     writer ends records with the blank lines WARC asks for and commits files task by task.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html")).withColumn("hex", F.sha1(F.encode("html", "UTF-8")))
+    rows = rows.withColumn("pid", F.coalesce("page_id", F.lit(NO_ID)))
     small = F.octet_length("html") < min_revisit
-    winners = rows.where(~small).groupBy("hex").agg(F.max("page_id").alias("best"))
-    kept = rows.join(winners.withColumnRenamed("best", "w_id").withColumnRenamed("hex", "w_hex"), F.col("hex").eqNullSafe(F.col("w_hex")) & F.col("page_id").eqNullSafe(F.col("w_id")), "left_semi")
-    kept = kept.unionByName(rows.where(small))
-    kept = kept.withColumn("copy", F.row_number().over(Window.partitionBy("hex", "page_id").orderBy("url"))).select("page_id", "url", "html", "hex", "copy", F.lit(None).cast("long").alias("best"), F.lit(False).alias("again"))
-    again = rows.where(~small).select("page_id", "url", "hex").join(winners, "hex").where(~F.col("page_id").eqNullSafe(F.col("best"))).select(
+    winners = rows.where(~small).groupBy("hex").agg(F.max("pid").alias("pid"))
+    kept = rows.where(~small).join(winners, ["hex", "pid"], "left_semi")
+    if min_revisit:
+        kept = kept.unionByName(rows.where(small))
+    # dealt as the join has dealt them, so payloads move once
+    kept = kept.withColumn("copy", F.row_number().over(Window.partitionBy("hex", "pid").orderBy("url"))).select("page_id", "url", "html", "hex", "copy", F.lit(None).cast("long").alias("best"), F.lit(False).alias("again"))
+    again = rows.where(~small).select("page_id", "pid", "url", "hex").join(winners.withColumnRenamed("pid", "best"), "hex").where("pid <> best").select(
         "page_id", "url", F.lit("").alias("html"), "hex", F.lit(1).alias("copy"), "best", F.lit(True).alias("again"))
 
     def run(batches):
@@ -152,22 +156,26 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
         kinds = [("page_id", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to_record", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
                  ("payload", pa.binary()), ("valid", pa.bool_()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())]
-        file, fields, parts, have, rows = None, None, [], 0, []
+        file, fields, held, rows = None, None, bytearray(), []
         for b in batches:
             for v, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if f != file:
-                    file, fields = f, None
+                    if fields or held.strip(b"\r\n"):
+                        raise ValueError(f"{file} ends inside a record")
+                    file, held = f, bytearray()
+                held += v
+                held += BREAK  # as the reader took it off
                 if fields is None:
-                    fields, parts, have = _fields(v), [], 0
-                    continue
-                parts.append(v)
-                have += len(v) + 4
-                if (n := int(fields["content-length"])) > have - 4:
+                    at = held.find(BREAK)
+                    if held.strip(b"\r\n"):
+                        fields = _fields(bytes(held[:at]))
+                        del held[:at + 4]
+                if fields is None or len(held) < (n := int(fields["content-length"])) + 4:
                     continue  # the blank line is part of the block
-                block = BREAK.join(parts)[:n]
-                rest = have - 4 - n
-                if rest:
-                    raise ValueError(f"{rest} bytes after a record of {file}")
+                if held[n:n + 4] != BREAK:
+                    raise ValueError(f"no blank line after a record of {file}")
+                block = bytes(held[:n])
+                del held[:n + 4]
                 page = int(fields["page-id"]) if "page-id" in fields else None
                 kind, rid = fields["warc-type"], fields["warc-record-id"]
                 if ("warc-segment-number" in fields) != segmented:
