@@ -22,6 +22,7 @@ ORACLE_SQL = {
     "op4_quality_rules": rules.SQL_RULES,
     "op5_license_scan": licenses.SQL_LICENSES,
     "op6_minhash_forest": nearest.SQL_NEAR,
+    "op7_suffix_dedup": suffixes.SQL_REPEATS,
     "op8_decontamination": decontamination.SQL_DECONTAMINATION,
     "op10_sharding": sharding.SQL_SHARDING,
 }

@@ -415,3 +415,16 @@ def _characters(t: bytes, spans: list) -> str:
 def op7_suffix_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, with_text=False)
+
+
+SQL_REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT r, doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS b FROM (SELECT r, doc_id, regexp_extract_all(h, '..') AS l FROM d)),
+spans AS (SELECT *, string_agg(b, '') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS s FROM bytes),
+first AS (SELECT *, length(s) = 100 AND doc_id > min(doc_id) OVER (PARTITION BY s) AS hit FROM spans),
+gone AS (SELECT r, i, b, bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS g FROM first),
+runs AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY r ORDER BY i), false) AS starts FROM gone),
+each AS (SELECT r, count(*) AS n, count(*) FILTER (g) AS n_removed, count(*) FILTER (starts) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT g) AS kept FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN each USING (r)
+"""
