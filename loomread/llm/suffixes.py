@@ -25,7 +25,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     """Positions of the suffixes of ``s`` in order, compared up to ``depth`` symbols or the next 0; two-stage sorting.
 
     s is uint8 and ends with 0; 0 stands after each string. Suffixes smaller than their successors are sorted directly,
-    8 symbols at a time; the others are induced, bucket by bucket of first symbols: when a suffix has its place, the
+    some symbols at a time; the others are induced, bucket by bucket of first symbols: when a suffix has its place, the
     one that starts a symbol earlier, if larger than it, takes the next free place of its bucket.
     """
     n = len(s)
@@ -41,12 +41,17 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     order = np.flatnonzero(small)
     group = np.zeros(len(order), np.int64)
     live = np.arange(len(order))  # places of suffixes that are still tied
-    for d in range(0, depth, 8):
-        w = words[order[live] + d]
-        by = np.lexsort((w, group[live]))
-        order[live], w, g = order[live][by], w[by], group[live][by]
+    bits = max(1, len(order).bit_length())
+    step = (64 - 2 * bits) // 8  # symbols that fit beside the group and the place, so that plain numbers are sorted
+    for d in range(0, depth, step):
+        key = group[live].astype(np.uint64) << np.uint64(64 - bits)
+        key |= (words[order[live] + d] >> np.uint64(64 - 8 * step)).astype(np.uint64) << np.uint64(bits)
+        key |= np.arange(len(live), dtype=np.uint64)
+        key.sort()
+        order[live] = order[live][(key & np.uint64((1 << bits) - 1)).astype(np.int64)]
+        key >>= np.uint64(bits)
         new = np.ones(len(live), bool)
-        new[1:] = (w[1:] != w[:-1]) | (g[1:] != g[:-1])
+        new[1:] = key[1:] != key[:-1]
         group[live] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))]
         tied = ~new
         tied[:-1] |= ~new[1:]
@@ -106,7 +111,7 @@ def _least_by_shares(s, sizes, owners, length, most):
     return np.split(least, np.cumsum(counts)[:-1])
 
 
-def least_owner(pieces: list[bytes], owners: np.ndarray, length: int, most: int = 4 << 20) -> list[np.ndarray]:
+def least_owner(pieces: list[bytes], owners: np.ndarray, length: int, most: int = 1 << 20) -> list[np.ndarray]:
     """For each piece and each of its windows of ``length`` bytes, the least owner of a piece that has that window too."""
     s = np.frombuffer(b"\0".join(p.translate(_UP) for p in pieces) + b"\0", np.uint8)
     sizes = np.array([len(p) for p in pieces])
@@ -115,7 +120,7 @@ def least_owner(pieces: list[bytes], owners: np.ndarray, length: int, most: int
     starts = np.cumsum(np.append(0, sizes[:-1] + 1))
     piece = np.repeat(np.arange(len(pieces)), sizes + 1)
     fits = (starts + sizes)[piece] - np.arange(len(s)) >= length
-    sa = suffix_array(s, int(sizes.max()))
+    sa = suffix_array(s, length)
     sa = sa[fits[sa]]
     padded = np.concatenate([s, np.zeros(length + 16, np.uint8)])
     same = np.ones(len(sa) - 1, bool)  # adjacent suffixes with a common prefix of ``length``
