@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (local tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomread-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomread-"))
+    return context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
