@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from loomread.storage import stored
 
 
+def _state(edges: DataFrame):
+    """Count and hash sum of the edges, which tell whether a round has changed them."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 40) -> DataFrame:
     """(node, component) of every node that ``edges`` names; component is the smallest reachable node.
 
@@ -18,6 +23,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     nodes = pairs.select("u").union(pairs.select("v")).distinct()
     cur = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    state = _state(cur)
     for _ in range(max_rounds):
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -25,10 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = stored(small.where("u <> v").distinct(), "star")
-        same = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        old = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        cur = new
-        if same == old:
+        before, state, cur = state, _state(new), new
+        if state == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
