@@ -243,8 +243,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in new and (with_text or f.name != text_col)] + T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields)
-    blocks = blocked(docs, text_col)
-    n_keys = max(1, -(-total_bytes(blocks) * 6 // 100 // 1_000_000))
+    blocks = blocked(docs, text_col, 2 << 20)
+    n_keys = max(1, -(-total_bytes(blocks) * 6 // 100 // 500_000))
 
     def ask(batches):
         import pyarrow as pa
@@ -273,7 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"block": table.column("block"), "r": table.column("r"), "n": pa.array([int(m.sum()) for m in masks], pa.int64()), "mask": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
 
     masks = stored(blocks.select("block", "payload").mapInArrow(ask, "r int, block long, keys binary, multi binary").groupBy("r").applyInArrow(answer, "block long, r int, n long, mask binary"), "repeat-masks")
-    n_pieces = max(1, -(-(masks.agg(F.sum("n")).first()[0] or 0) // 60_000))
+    n_pieces = max(1, -(-(masks.agg(F.sum("n")).first()[0] or 0) // 30_000))
 
     def send(key, texts, known):
         import pyarrow as pa
