@@ -75,19 +75,23 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def _forest(rep: DataFrame, most: int) -> DataFrame:
-    """(region, doc, sig): members of each region of the forest that has two members or more.
+def _forest(rep: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, doc) three times: regions of at most ``most`` members for the first links, and the small and the large regions of depth SHALLOW.
 
     In each tree, documents are sorted by DEPTH hashes of their signature; a region is a run with a common prefix.
-    Regions start at depth SHALLOW; one with more than ``most`` members is split by two more hashes, up to DEPTH, and what
-    is still larger (documents that agree in all hashes) is dealt by a hash of the document, a different one in each
-    tree; each such share also gets the region's smallest document, so that shares meet.
+    Regions start at depth SHALLOW. For the first links, one with more than ``most`` members is split by two more hashes,
+    up to DEPTH, and what is still larger (documents that agree in all hashes) is dealt by a hash of the document, a
+    different one in each tree; each such share also gets the region's smallest document, so that shares meet. This
+    leaves out pairs, so large regions are returned as they are too, for _block_pairs().
     """
     prefix = lambda t, d: F.xxhash64(F.lit(t), F.expr(f"substring(sig, {4 * DEPTH * t + 1}, {4 * d})"))
     left, out = rep.select("doc", F.posexplode(F.array(*[prefix(t, SHALLOW) for t in range(TREES)])).alias("tree", "key")), []
     for d in range(SHALLOW, DEPTH + 1, 2):
         counts = left.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
         met = left.join(counts, "key")
+        if d == SHALLOW:
+            met = stored(met, "shallow")
+            small, large = met.where(F.col("n") <= most).select("key", "doc").distinct(), met.where(F.col("n") > most).select("key", "doc").distinct()
         out.append(met.where(F.col("n") <= most).select("key", "doc"))
         if d < DEPTH:
             deeper = F.array(*[prefix(t, d + 2) for t in range(TREES)])
@@ -99,17 +103,44 @@ def _forest(rep: DataFrame, most: int) -> DataFrame:
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
-    return stored(found.distinct(), "regions")
+    return stored(found.distinct(), "regions"), small, large
 
 
-def _similar(low: np.ndarray, n: np.ndarray, comp: np.ndarray, least: float, percent: int):
-    """(i, j, agreeing hashes) with i < j: pairs of different components whose signatures agree in a share of ``least``, and whose sizes allow the similarity."""
-    found = [(np.zeros(0, np.int64),) * 3]
-    for i in range(len(low) - 1):
-        near = (low[i + 1:] == low[i]).sum(axis=1)
-        small, large = np.minimum(n[i + 1:], n[i]), np.maximum(n[i + 1:], n[i])
-        j = np.flatnonzero((near >= least * low.shape[1]) & (comp[i + 1:] != comp[i]) & (100 * small >= percent * large))
-        found.append((np.full(len(j), i), j + i + 1, near[j]))
+def _block_pairs(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (key, doc, component, ...) of large regions with ``side``, once per pair of blocks; key becomes the pair's.
+
+    A region's members are dealt into blocks of about ``block`` by hashes: components of that many members or more have
+    blocks of their own, the others share some. Any two members of different components meet in exactly one pair of blocks,
+    side 0 and 1 (a block with itself has only side 0); two blocks of one component are no pair, so a region costs what its
+    components have not settled yet.
+    """
+    sizes = members.groupBy("key", "component").agg(F.countDistinct("doc").alias("m")).withColumn("alone", F.col("m") >= block)
+    rest = sizes.where("not alone").groupBy("key").agg(F.sum("m").alias("rest"))
+    sizes = sizes.join(rest, "key", "left")
+    own = F.xxhash64("component", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / block)))
+    shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / block))
+    dealt = stored(members.join(sizes, ["key", "component"]).withColumn("block", F.when(F.col("alone"), own).otherwise(shared)).withColumn("one", F.when(F.col("alone"), F.col("component"))).drop("m", "rest"), "dealt")
+    blocks = dealt.select("key", "alone", "block", "one").distinct()
+    x, y = blocks.select("key", F.struct("alone", "block").alias("x"), F.col("one").alias("x1")), blocks.select("key", F.struct("alone", "block").alias("y"), F.col("one").alias("y1"))
+    pairs = x.join(y, "key").where("x <= y and (x1 is null or y1 is null or x1 <> y1)").select("key", "x", "y")
+    ends = pairs.select("key", F.xxhash64("key", "x.alone", "x.block", "y.alone", "y.block").alias("pair"), F.explode(
+        F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("b")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("b")), F.struct(F.lit(1).alias("side"), F.col("y").alias("b"))))).alias("e"))
+    ends = ends.select("key", "pair", "e.side", F.col("e.b.alone").alias("alone"), F.col("e.b.block").alias("block"))
+    return dealt.join(ends, ["key", "alone", "block"]).drop("alone", "block", "one").withColumn("region", F.col("key")).withColumn("key", F.col("pair")).drop("pair")
+
+
+def _similar(low: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, least: float, percent: int):
+    """(i, j, agreeing hashes) with i < j: pairs of different components whose signatures agree in a share of ``least``, and whose sizes allow the similarity.
+
+    Rows are sorted by side; where there is a side 1, pairs have an end on either side.
+    """
+    found, ones = [(np.zeros(0, np.int64),) * 3], int((side == 0).sum())
+    for i in range(ones if ones < len(low) else len(low) - 1):
+        at = ones if ones < len(low) else i + 1
+        near = (low[at:] == low[i]).sum(axis=1)
+        small, large = np.minimum(n[at:], n[i]), np.maximum(n[at:], n[i])
+        j = np.flatnonzero((near >= least * low.shape[1]) & (comp[at:] != comp[i]) & (100 * small >= percent * large))
+        found.append((np.full(len(j), i), j + at, near[j]))
     return map(np.concatenate, zip(*found))
 
 
@@ -130,10 +161,10 @@ class _Union:
 
 
 def _columns(table):
-    """Members of a region by rising doc: doc, low bytes of the signature, set size, component."""
-    table = table.sort_by("doc")
+    """Members of a region by side and rising doc: doc, low bytes of the signature, set size, component, side."""
+    table = table.sort_by([("side", "ascending"), ("doc", "ascending")])
     low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-    return table, table.column("doc").to_numpy(), low, table.column("n").to_numpy(), table.column("component").to_numpy()
+    return table, table.column("doc").to_numpy(), low, table.column("n").to_numpy(), table.column("component").to_numpy(), table.column("side").to_numpy()
 
 
 def _likely_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
@@ -145,8 +176,8 @@ def _likely_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
-        _, doc, low, n, _ = _columns(table)
-        i, j, near = _similar(low, n, np.arange(len(doc)), least, percent)
+        _, doc, low, n, _, side = _columns(table)
+        i, j, near = _similar(low, n, np.arange(len(doc)), side, least, percent)
         union, out = _Union(len(doc)), []
         for at in np.argsort(-near, kind="stable").tolist():
             if union.join(int(i[at]), int(j[at])):
@@ -157,14 +188,14 @@ def _likely_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
 
 
 def _open_members(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """The members of regions that have a similar partner in another component."""
+    """(key, doc, component, low, n): the members of regions that have a similar partner in another component; key is the region."""
 
     def run(table):
-        table, _, low, n, comp = _columns(table)
-        i, j, _ = _similar(low, n, comp, least, percent)
-        return table.take(np.unique(np.concatenate([i, j]))).select(["key", "doc", "component", "low", "n"])
+        table, _, low, n, comp, side = _columns(table)
+        i, j, _ = _similar(low, n, comp, side, least, percent)
+        return table.take(np.unique(np.concatenate([i, j]))).select(["region", "doc", "component", "low", "n"])
 
-    return members.select("key", "doc", "component", "low", "n").groupBy("key").applyInArrow(run, "key long, doc long, component long, low binary, n long")
+    return members.select("key", "region", "doc", "component", "low", "n", "side").groupBy("key").applyInArrow(run, "region long, doc long, component long, low binary, n long").withColumnRenamed("region", "key")
 
 
 def _closing_links(members: DataFrame, least: float, percent: int) -> DataFrame:
@@ -173,9 +204,9 @@ def _closing_links(members: DataFrame, least: float, percent: int) -> DataFrame:
     def run(table):
         import pyarrow as pa
 
-        table, doc, low, n, comp = _columns(table)
+        table, doc, low, n, comp, side = _columns(table)
         sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
-        i, j, near = _similar(low, n, comp, least, percent)
+        i, j, near = _similar(low, n, comp, side, least, percent)
         _, place = np.unique(comp, return_inverse=True)
         union, out = _Union(len(doc)), []
         for at in np.argsort(-near, kind="stable").tolist():
@@ -235,8 +266,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sets are of distinct k-word shingles (lower-cased A-Z; shorter texts: the whole sequence), as 64-bit hashes; equal
     sets are one node before anything else, so copies cost nothing. Candidates come from the forest: in each region
     first a spanning forest of the most similar signatures; once those are confirmed on full sets and components are
-    known, members of regions that still hold more than one component are compared inside the region on their full
-    sets. Both steps look at pairs whose signatures agree in a share of hashes at most 0.12 below the threshold, nearly
+    known, members of regions of the shallow depth that still hold more than one component are compared inside the
+    region on their full sets, in large regions by pairs of blocks, so that no two components go untested. Both steps look at pairs whose signatures agree in a share of hashes at most 0.12 below the threshold, nearly
     four deviations of that estimate, and whose sizes allow the similarity.
     component_id is the smallest doc_id reachable, kept is doc_id = component_id. Empty and null texts and rows with a
     null id are linked with nothing (null ids: null component, kept); rows with equal ids and texts get equal results; a
@@ -245,16 +276,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = stored(_signed(docs, id_col, text_col, k), "signatures")
     rep = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "distinct-sets")
     least = max(0.0, percent / 100 - 0.12)
-    regions = _forest(rep.select("doc", "sig"), most)
+    regions, small, large = _forest(rep.select("doc", "sig"), most)
     low = rep.select("doc", "sig", "n").mapInArrow(_low_bytes, "doc long, low binary, n long")  # a byte of each hash is enough to compare
-    pairs = stored(_likely_pairs(regions.withColumn("component", F.col("doc")).join(low, "doc"), least, percent), "near-pairs")
+    pairs = stored(_likely_pairs(regions.withColumn("component", F.col("doc")).withColumn("side", F.lit(0)).join(low, "doc"), least, percent), "near-pairs")
     links = stored(_confirmed(pairs, docs, id_col, text_col, k, percent), "links")
     groups = stored(connected_components(links, "a", "b"), "groups")
-    # regions in which documents are not in one component yet
-    named = regions.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = stored(_open_members(named.join(open_, "key", "left_semi").join(low, "doc"), least, percent), "open-members")
-    more = stored(_closing_links(left.join(_full_sets(left.select("doc"), docs, id_col, text_col, k), "doc"), least, percent), "more-links")
+
+    # regions in which documents are not in one component yet: small ones as they are, large ones by pairs of blocks
+    def unsettled(members):
+        named = members.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return named.join(open_, "key", "left_semi").join(low, "doc")
+
+    whole = lambda members: members.withColumn("region", F.col("key")).withColumn("side", F.lit(0))
+    left = stored(_open_members(whole(unsettled(small)), least, percent), "open-members")
+    left_large = stored(_open_members(_block_pairs(unsettled(large), most // 2), least, percent).distinct(), "open-members")
+    full = stored(_full_sets(left.select("doc").union(left_large.select("doc")), docs, id_col, text_col, k), "open-sets")
+    both = whole(left).unionByName(_block_pairs(left_large, most // 2))
+    more = stored(_closing_links(both.join(full, "doc"), least, percent), "more-links")
     if more.count():
         groups = stored(connected_components(links.unionByName(more), "a", "b"), "groups")
     sets = rep.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component"))

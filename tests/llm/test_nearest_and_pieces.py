@@ -49,6 +49,23 @@ def test_groups_against_all_pairs(spark, most):
     assert near_groups(df.limit(0)).collect() == []
 
 
+def test_large_regions_lose_no_links(spark):
+    """One template, 240 pairs of variants: a pair is just over the threshold, the variants of different pairs are under it."""
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(400)], []
+    for g in range(240):
+        own = [f"g{g}" if k % 40 == 0 else w for k, w in enumerate(base)]
+        for v in range(2):
+            w = list(own)
+            for at in rng.sample(range(3, 400, 11), 5):
+                w[at] = f"v{g}x{v}x{at}"
+            rows.append((len(rows), " ".join(w)))
+    want = brute_groups(rows, 3, 85)
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, most=16).collect()
+    assert len({c for _, _, c in want}) > 100
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
+
+
 @needs_model
 def test_n_best_against_all_paths():
     v = pieces.Vocabulary(pieces.MODEL)
