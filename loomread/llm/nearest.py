@@ -232,17 +232,21 @@ def _low_bytes(batches):
 
 
 def _full_sets(named: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc, items): the shingle sets of the documents ``named`` (doc)."""
+    """(doc, items): the shingle sets of the documents ``named`` (doc); a row for each different set of a repeated doc."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(named.distinct(), "doc", "left_semi")
 
     def sets(batches):
+        import hashlib
+
         import pyarrow as pa
 
         hashes = WordHashes()
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([shingle_set(lowered_words(t), k, hashes).tobytes() for t in x.column(1).to_pylist()], pa.binary())], ["doc", "items"])
+            items = [shingle_set(lowered_words(t), k, hashes).tobytes() for t in x.column(1).to_pylist()]
+            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in items]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(keys, pa.binary()), pa.array(items, pa.binary())], ["doc", "set_key", "items"])
 
-    return texts.mapInArrow(sets, "doc long, items binary").dropDuplicates(["doc"])
+    return texts.mapInArrow(sets, "doc long, set_key binary, items binary").dropDuplicates(["doc", "set_key"]).where("length(items) > 0").drop("set_key")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -257,7 +261,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k:
             keep = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x.column("a_items").to_pylist(), x.column("b_items").to_pylist())]
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "a_items", "b_items").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "a_items", "b_items").mapInArrow(test, "a long, b long").distinct()
+
+
+def _slack(percent: int) -> float:
+    """How far below the threshold a pair's share of agreeing hashes may be: five deviations of that estimate, 0.15 at least."""
+    p = min(max(percent / 100, 0.0), 1.0)
+    return max(0.15, 5 * (p * (1 - p) / (TREES * DEPTH)) ** 0.5)
+
+
+def _repeated_ids(signed: DataFrame, rep: DataFrame) -> DataFrame:
+    """(a, b): links from each id that has different texts to the documents that stand for its sets."""
+    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"), F.count("set_key").alias("sets"), F.count("*").alias("rows"))
+    ids = ids.where("lo <> hi or (sets > 0 and sets < rows)").select("doc_id")
+    named = signed.where("set_key is not null").select("doc_id", "set_key").join(ids, "doc_id", "left_semi").distinct()
+    return named.join(rep.select("set_key", "doc"), "set_key").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, most: int = 256) -> DataFrame:
@@ -267,19 +285,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets are one node before anything else, so copies cost nothing. Candidates come from the forest: in each region
     first a spanning forest of the most similar signatures; once those are confirmed on full sets and components are
     known, members of regions of the shallow depth that still hold more than one component are compared inside the
-    region on their full sets, in large regions by pairs of blocks, so that no two components go untested. Both steps look at pairs whose signatures agree in a share of hashes at most 0.12 below the threshold, nearly
-    four deviations of that estimate, and whose sizes allow the similarity.
+    region on their full sets, in large regions by pairs of blocks, so that no two components go untested. Both steps
+    look at pairs whose signatures agree in a share of hashes at most _slack() below the threshold, five deviations of
+    that estimate or more, and whose sizes allow the similarity.
     component_id is the smallest doc_id reachable, kept is doc_id = component_id. Empty and null texts and rows with a
-    null id are linked with nothing (null ids: null component, kept); rows with equal ids and texts get equal results; a
+    null id link nothing (null ids: null component, kept); rows with equal ids and texts get equal results; a
     repeated id with different texts links what either text links.
     """
     signed = stored(_signed(docs, id_col, text_col, k), "signatures")
     rep = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "distinct-sets")
-    least = max(0.0, percent / 100 - 0.12)
+    least = max(0.0, percent / 100 - _slack(percent))
     regions, small, large = _forest(rep.select("doc", "sig"), most)
     low = rep.select("doc", "sig", "n").mapInArrow(_low_bytes, "doc long, low binary, n long")  # a byte of each hash is enough to compare
     pairs = stored(_likely_pairs(regions.withColumn("component", F.col("doc")).withColumn("side", F.lit(0)).join(low, "doc"), least, percent), "near-pairs")
-    links = stored(_confirmed(pairs, docs, id_col, text_col, k, percent), "links")
+    links = stored(_confirmed(pairs, docs, id_col, text_col, k, percent).unionByName(_repeated_ids(signed, rep)), "links")
     groups = stored(connected_components(links, "a", "b"), "groups")
 
     # regions in which documents are not in one component yet: small ones as they are, large ones by pairs of blocks
@@ -297,7 +316,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if more.count():
         groups = stored(connected_components(links.unionByName(more), "a", "b"), "groups")
     sets = rep.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_key").join(sets, "set_key", "left")
+    rows = signed.select("doc_id", "n_shingles", "set_key")
+    out = rows.where("set_key is not null").join(sets, "set_key", "left").drop("set_key")
+    # an empty text goes with the other texts of its id, if any
+    out = out.unionByName(rows.where("set_key is null").drop("set_key").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -66,6 +66,24 @@ def test_large_regions_lose_no_links(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
 
 
+def test_pairs_with_unlucky_signatures_are_linked(spark):
+    """Pairs exactly at the threshold of which fewer hashes agree than 0.12 below it."""
+    rows = []
+    for seed in (3790, 5557, 6447, 8330):
+        for v in "xy":
+            rows.append((len(rows), " ".join([f"s{seed}c{k}" for k in range(80)] + [f"s{seed}{v}{k}" for k in range(10)])))
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(8)}
+
+
+def test_repeated_ids_link_what_either_text_links(spark):
+    text = lambda g, v="": " ".join(f"g{g}w{k}" if k != 30 else f"g{g}x{v}" for k in range(60))
+    rows = [(1, text(1, "a")), (2, text(2, "a")), (5, text(1, "b")), (5, text(2, "b")), (6, text(3)), (7, text(3)), (7, text(4)), (8, text(4)), (9, text(5)), (9, ""), (9, None), (4, text(5)), (10, ""), (None, text(6))]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_groups(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 5: 1, 6: 6, 7: 6, 8: 6, 9: 4, 4: 4, 10: 10, None: None}
+
+
 @needs_model
 def test_n_best_against_all_paths():
     v = pieces.Vocabulary(pieces.MODEL)
