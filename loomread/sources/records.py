@@ -2,38 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomread.storage import scratch
 
 
+def _marked(c: Column) -> Column:
+    r"""A field as one line that is never empty: \s for a backslash, \n for a line break, \E for empty, \N for null."""
+    c = F.replace(F.replace(c.cast("string"), F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n"))
+    return F.when(c.isNull(), F.lit("\\N")).when(c == "", F.lit("\\E")).otherwise(c)
+
+
+def _unmarked(c: Column) -> Column:
+    plain = F.replace(F.replace(c, F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
+    return F.when(c == "\\N", F.lit(None).cast("string")).when(c == "\\E", F.lit("")).otherwise(plain)
+
+
 def write_records(df: DataFrame, fields: list[Column], path: str) -> None:
-    """A record per row, its fields on lines of their own, an empty line after each record; gzip, a file per task."""
-    clean = [F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\n", " ") for c in fields]
-    df.select(F.concat_ws("\n", *clean).alias("value")).write.option("lineSep", "\n\n\n").option("compression", "gzip").text(path)
+    """A record per row, its fields on lines of their own, two empty lines after each record; gzip, a file per task."""
+    df.select(F.concat_ws("\n", *map(_marked, fields)).alias("value")).write.option("lineSep", "\n\n\n").option("compression", "gzip").text(path)
 
 
 def read_records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """The fields of write_records(), as strings."""
+    """The fields of write_records(), as strings; nulls and empty fields as they were."""
     raw = spark.read.option("lineSep", "\n\n\n").text(path)
     parts = raw.select(F.split("value", "\n", len(names)).alias("p"))
-    return parts.select(*[F.regexp_replace(F.get("p", F.lit(i)), " ", "\n").alias(n) for i, n in enumerate(names)])
+    return parts.select(*[_unmarked(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual) of four-line records; a record starts at a line with @ whose next but one starts with +.
+    """(name, seq, qual) of four-line records; one whose first line lacks @ or whose third lacks + is an error.
 
-    Records are split at line breaks before '@', so files need no record counter and stay splittable by record.
+    Qualities may start with '@' or '+', so records are told by line numbers, not by marks: lines are counted within each
+    split of a file, and the counts of the splits before it are added. Empty lines after the last record are no record.
     """
-    raw = spark.read.option("lineSep", "\n@").text(path).where(F.length("value") > 0)
-    p = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    return raw.select(F.get(p, F.lit(0)).alias("name"), F.get(p, F.lit(1)).alias("seq"), F.rtrim(F.get(p, F.lit(3))).alias("qual"))
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")  # over splits, not lines
+    lines = raw.join(blocks.withColumn("before", before), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
+    field = lambda i: F.coalesce(F.max(F.when(F.col("line") % 4 == i, F.rtrim("value", F.lit("\r")))), F.lit(""))
+    r = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(*[field(i).alias(x) for i, x in enumerate(["name", "seq", "plus", "qual"])])
+    r = r.where("name <> '' or seq <> '' or plus <> '' or qual <> ''")
+    name = F.when(F.col("name").startswith("@") & F.col("plus").startswith("+"), F.expr("substring(name, 2)")).otherwise(F.raise_error(F.concat(F.lit("no four-line record: "), "file", F.lit(", "), F.col("record").cast("string"))))
+    return r.select(name.alias("name"), "seq", "qual")
 
 
 def write_fastq(df: DataFrame, path: str) -> None:
-    """Four-line records of (name, seq, qual)."""
-    df.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value")).write.text(path)
+    """Four-line records of (name, seq, qual); nulls are written as empty."""
+    name, seq, qual = (F.coalesce(F.col(c), F.lit("")) for c in ("name", "seq", "qual"))
+    df.select(F.concat(F.lit("@"), name, F.lit("\n"), seq, F.lit("\n+\n"), qual).alias("value")).write.text(path)
 
 
 def parse_locus(c: Column) -> Column:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from loomread.functions.sequences import canonical, is_flipped, masked, reverse_complement
 from loomread.operators import intervals, kmers, rules, sessions, stats
 from loomread.operators.components import connected_components
+from loomread.sources import records
+from loomread.storage import scratch
 
 
 def test_sequences(spark):
@@ -54,3 +56,25 @@ def test_rules_at_the_threshold(spark):
 def test_close_pairs_counts_without_making_pairs(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate([0, 0, 5, 10, 100])], "k long, id long, t long")
     assert sessions.close_pairs(df, ["k"], "t", "id", 5).first().pairs == 4
+
+
+def test_fastq_qualities_with_marks(spark):
+    rows = [("a", "ACGT", "@III"), ("b", "AC", "+@"), ("c", "GGG", "III"), ("d", "", ""), ("@e", "T", "@"), ("f", "ACG", "@@@")] * 50
+    df = spark.createDataFrame([(f"{n}{i}", s, q) for i, (n, s, q) in enumerate(rows)], "name string, seq string, qual string").coalesce(2)
+    path = scratch(spark, "fastq-test")
+    records.write_fastq(df, path)
+    want = sorted(map(tuple, df.collect()), key=repr)
+    assert sorted(map(tuple, records.read_fastq(spark, path).collect()), key=repr) == want
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")  # many splits a file
+    try:
+        assert sorted(map(tuple, records.read_fastq(spark, path).collect()), key=repr) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_with_empty_and_null_fields(spark):
+    rows = [("1", "a", ""), ("2", None, None), ("3", "", ""), ("", "", ""), (None, "x", "y"), ("4", "back\\slash \\n \\N", "two\n\n\nlines\n"), ("5", "\\E", "u v")]
+    df = spark.createDataFrame(rows, "a string, b string, c string").coalesce(1)
+    got = records.records_roundtrip(df, [F.col("a"), F.col("b"), F.col("c")], ["a", "b", "c"]).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
