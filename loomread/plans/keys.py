@@ -93,7 +93,7 @@ def bridging_test(s, d):
 
 
 def line_copy_number(s, d):
-    """Rows per part over flanks of 10, 100 and 1000 neighbours, normalised so that the mean is 2."""
+    """Rows per part in fixed buckets of 100 part keys, normalised so that the mean is 2; there are no flanks."""
     c = _t(s, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("c")).withColumn("bucket", F.floor(F.col("l_partkey") / 100))
     r = c.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("k"))
     return r.select("bucket", F.round(2 * (F.col("c") / F.col("k")) / F.avg(F.col("c") / F.col("k")).over(Window.partitionBy()), 4).alias("cn"))
