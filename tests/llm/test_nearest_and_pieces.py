@@ -97,7 +97,44 @@ def test_n_best_against_all_paths():
     for s in (" hello", "tion", "  a", "日é", "\n", " x.y", "▁a"):
         want = sorted((round(a, 6) for a, _ in paths(s)), reverse=True)[:4]
         assert [round(a, 6) for a, _ in v.n_best(s, 4)] == want
-        assert [round(a, 6) for a, _ in v.token(s, 4, {})] == want
+        score, gap, n, ids = v.segment([s])
+        assert round(score[0], 6) == want[0] and (round(gap[0], 6) == round(want[0] - want[1], 6) if len(want) > 1 else gap[0] == float("inf"))
+        assert n[0] == len(ids) and b"".join(v.bytes_of[i] for i in ids).decode() == s
+
+
+@needs_model
+def test_n_best_of_whole_texts_against_all_paths(spark):
+    v = pieces.Vocabulary(pieces.MODEL)
+
+    def paths(s):
+        if not s:
+            return [(0.0, ())]
+        edges = v.edges(s)
+        return [(a + score, ids + own) for i, score, own in edges[len(s)] for a, ids in paths(s[:i])]
+
+    texts = ["a b", "the cat", "日é a", "x\ny", " ▁a b", "", None, "q", "aa aa", "to be 😀"]
+    got = pieces.encode_texts(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), n_best=5).collect()
+    for r in got:
+        want = sorted(paths(" " + r.text), reverse=True, key=lambda p: p[0])[:5] if r.text else [(0.0, ())]
+        assert [round(x, 6) for x in r.scores] == [round(a, 6) for a, _ in want]
+        known = {tuple(ids): round(a, 6) for a, ids in (paths(" " + r.text) if r.text else want)}
+        assert len({tuple(p.ids) for p in r.n_best}) == len(want) and all(known[tuple(p.ids)] == round(p.score, 6) for p in r.n_best)
+
+
+@needs_model
+def test_segments_side_by_side_and_long_runs():
+    v = pieces.Vocabulary(pieces.MODEL)
+    rng = random.Random(4)
+    tokens = sorted({" " * rng.randrange(3) + "".join(rng.choice("aeinrst日é😀▁.") for _ in range(rng.randrange(1, 30))) for _ in range(500)}, key=len)
+    score, gap, n, ids = v.segment(tokens)
+    at = 0
+    for t, a, g, m in zip(tokens, score, gap, n):
+        best = v.n_best(t, 2)
+        assert round(best[0][0], 6) == round(a, 6) and (round(best[0][0] - best[1][0], 6) == round(g, 6) if len(best) > 1 else g == float("inf"))
+        assert b"".join(v.bytes_of[i] for i in ids[at:at + m]).decode() == t
+        at += m
+    found = v.n_best("a" * 20_000, 3)  # many ties, no blow-up
+    assert [len(found), found[0][0]] == [3, v.segment(["a" * 20_000])[0][0]] and len({ids for _, ids in found}) == 3
 
 
 @needs_model
