@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomread.plans import keys, kmers, quality, relations, stats
+from loomread.plans import keys, kmers, loci, quality, relations, stats
 
-FAMILIES = [kmers, stats, keys, relations, quality]
+FAMILIES = [kmers, stats, keys, relations, quality, loci]
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE_SQL = {k: v for f in FAMILIES for k, v in f.ORACLE_SQL.items()}
