@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomread.operators.ordinals import running_totals
+
 
 def match_keys(rows: DataFrame, key: str, whitelist: DataFrame, listed: str, key_id: str) -> DataFrame:
     """rows with ``key_id`` of their key, null where the whitelist lacks it (a left join on its distinct keys)."""
@@ -41,11 +43,10 @@ def error_rate(rows: DataFrame, whitelist: DataFrame, key: str, listed: str) ->
 
 
 def common_keys(rows: DataFrame, key: str, share: float = 0.75) -> DataFrame:
-    """(key, n): most frequent keys, until they hold ``share`` of the rows; ties by key. Windows run over keys, not rows."""
-    c = rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.col("n").desc(), "key").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumns({"before": F.coalesce(F.sum("n").over(w), F.lit(0)), "total": F.sum("n").over(Window.partitionBy())})
-    return c.where(F.col("before") < share * F.col("total")).select("key", "n")
+    """(key, n): most frequent keys, until they hold ``share`` of the rows; ties by key. Keys are dealt by range of their counts."""
+    c = rows.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"), (-F.count("*")).alias("rare"))
+    c = running_totals(c, ["rare", "key"], "n", "before")
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("total")))).where(F.col("before") < share * F.col("total")).select("key", "n")
 
 
 def detect_lot(rows: DataFrame, lots: DataFrame, key: str, lot: str, least: float = 0.95, min_rows: int = 1000) -> DataFrame:

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomread.functions.sequences import ascii_upper, canonical, characters, grams, is_flipped
+from loomread.functions.sequences import ascii_upper, canonical, is_flipped
+from loomread.operators.ordinals import ordinals
 
 
 def kmer_rows(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, kmer): every k-character substring of the upper-cased text, with repeats."""
-    chars = df.select(F.col(key).alias("key"), characters(ascii_upper(F.col(text))).alias("c"))
-    return chars.select("key", F.explode_outer(grams(F.col("c"), k)).alias("kmer")).where("kmer is not null")
+    """(key, kmer): every k-character substring of the upper-cased text, with repeats.
+
+    Characters are taken as four bytes each, so that a substring is found at once, however long the text, in generated code; a mark of the byte order goes before them, which decoding takes off.
+    """
+    wide = F.encode(ascii_upper(F.coalesce(F.col(text), F.lit(""))), "UTF-32")
+    at = df.select(F.col(key).alias("key"), wide.alias("u")).where(F.octet_length("u") >= 4 * k)
+    at = at.select("key", "u", F.explode(F.sequence(F.lit(0), F.expr(f"octet_length(u) div 4 - {k}").cast("int"))).alias("i"))
+    return at.select("key", F.decode(F.expr(f"concat(X'0000FEFF', substring(u, 4 * i + 1, {4 * k}))"), "UTF-32").alias("kmer"))
 
 
 def supported_kmers(rows: DataFrame, min_obs: int = 3, min_keys: int = 2) -> DataFrame:
@@ -63,8 +69,5 @@ def partition_by_minimizer(rows: DataFrame, p: int) -> DataFrame:
 
 
 def inverse_frequency_rank(rows: DataFrame) -> DataFrame:
-    """(kmer, n, rank): k-mers by rising count, the rarest first from 0; for short k, as one task ranks all of them."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy("kmer").agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy("n", "kmer")) - 1)
+    """(kmer, n, rank): k-mers by rising count, the rarest first from 0."""
+    return ordinals(rows.groupBy("kmer").agg(F.count("*").alias("n")), ["n", "kmer"], "rank")

@@ -39,3 +39,19 @@ def within_share_of_best(pairs: DataFrame, share: float) -> DataFrame:
 def minhash(members: DataFrame, group: str, item: str, n: int) -> DataFrame:
     """(group, h0 ... h{n-1}): least md5 of each item under n seeds; each value is hashed on its own."""
     return members.groupBy(group).agg(*[F.min(F.md5(F.concat(F.lit(f"{k}/"), F.col(item).cast("string")))).alias(f"h{k}") for k in range(n)])
+
+
+def minhash_matches(members: DataFrame, group: str, item: str, n: int, least: float) -> DataFrame:
+    """(a, b, n) with a < b: groups of which more than ``least`` of ``n`` seeded minima agree.
+
+    Minima are joined by (seed, value); groups with equal signatures meet as one and are told apart at the end, so that
+    copies of a set are not multiplied in the join.
+    """
+    signs = minhash(members, group, item, n)
+    signs = signs.select(F.col(group).alias("g"), F.array(*[f"h{k}" for k in range(n)]).alias("sig"))
+    classes = signs.groupBy("sig").agg(F.min("g").alias("c"))
+    rows = classes.select("c", F.posexplode("sig").alias("k", "h"))
+    met = rows.join(rows.select(F.col("c").alias("d"), "k", "h"), ["k", "h"]).where("c <= d").groupBy("c", "d").agg(F.count("*").alias("n")).where(F.col("n") > least * n)
+    named = signs.join(classes, "sig").select("g", "c")
+    both = met.join(named.select("c", F.col("g").alias("x")), "c").join(named.select(F.col("c").alias("d"), F.col("g").alias("y")), "d")
+    return both.where("c <> d or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomread.operators.graphs import reachable
+
 
 def raised(compare: Column, value: Column, threshold: Column) -> Column:
     """(compare is '>') differs from (value < threshold): equality raises '>' rules only; null values raise nothing."""
@@ -17,13 +19,10 @@ def evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return j.select("stage", "name", "metric", "action", "parent", "value", raised(F.col("compare"), F.col("value"), F.col("threshold")).alias("raised"))
 
 
-def suppress(alerts: DataFrame, depth: int = 4) -> DataFrame:
-    """Raised alerts of which no ancestor, up to ``depth`` generations, is raised on the same stage."""
+def suppress(alerts: DataFrame) -> DataFrame:
+    """Raised alerts of which no ancestor is raised on the same stage; parents may form a cycle."""
     up = alerts.where("raised").select("stage", F.col("name").alias("anc"))
     parents = alerts.select("name", F.col("parent").alias("anc")).where("anc is not null").distinct()
-    step = chain = parents
-    for _ in range(depth - 1):
-        step = step.join(parents.select(F.col("name").alias("anc"), F.col("anc").alias("next")), "anc").select("name", F.col("next").alias("anc"))
-        chain = chain.union(step)
-    under = chain.distinct().join(up, "anc").select("stage", "name").distinct()
+    chain = reachable(parents, "name", "anc")
+    under = chain.join(up, "anc").select("stage", "name").distinct()
     return alerts.where("raised").join(under, ["stage", "name"], "left_anti")

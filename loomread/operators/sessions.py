@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomread.operators.ordinals import running_totals
+
 
 def molecules(rows: DataFrame, keys: list[str], pos: str, tie: str, gap: float, least: int) -> DataFrame:
     """(keys, molecule, n, start, stop, length): runs of rows no more than ``gap`` apart, with at least ``least`` rows.
@@ -27,9 +29,8 @@ def order_score(rows: DataFrame, key: str, line: str, pos: str, tie: str, least:
 
 
 def offset_index(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n, offset): where each key's rows start when rows are sorted by key. The running sum is over keys, not rows."""
-    c = rows.groupBy(key).agg(F.count("*").alias("n"))
-    return c.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    """(key, n, offset): where each key's rows start when rows are sorted by key; keys are dealt by range."""
+    return running_totals(rows.groupBy(key).agg(F.count("*").alias("n")), [key], "n", "offset")
 
 
 def flag_duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

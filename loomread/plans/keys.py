@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomread.functions.sequences import micros
 from loomread.operators import keys as K
 from loomread.operators import sessions as M
-from loomread.operators import stats as S
+from loomread.operators.ordinals import ordinals
 
 
 def _t(s, d, name):
@@ -20,8 +20,8 @@ def _events(s, d):
 
 
 def _white(s, d):
-    """Every second customer is a listed key."""
-    return _t(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", (F.floor(F.col("c_custkey") / 2)).alias("key_id"))
+    """Customers in credit are the listed keys."""
+    return _t(s, d, "customer").where("c_acctbal >= 0").select("c_custkey", (F.floor(F.col("c_custkey") / 2)).alias("key_id"))
 
 
 def _brands(s, d):
@@ -47,7 +47,7 @@ def barcode_check_h2(s, d):
 
 def bc_indexer(s, d):
     """id = n + (group - 1) * N + 1 with n the key's place in the whitelist and N its size; a missing group is 1."""
-    w = _white(s, d).select("c_custkey", (F.row_number().over(Window.orderBy("c_custkey")) - 1).alias("n"))
+    w = ordinals(_white(s, d).select("c_custkey"), ["c_custkey"], "n")
     size = w.agg(F.count("*").alias("size"))
     g = F.when(F.col("event_type") == "click", 2).otherwise(1)
     e = _events(s, d).join(w, F.col("user_id") == F.col("c_custkey"), "left").crossJoin(F.broadcast(size))
@@ -72,31 +72,53 @@ def lw_mean_molecule(s, d):
     return m.agg(F.count("*").alias("n"), F.round(F.sum(F.col("length") * F.col("length")) / F.sum("length"), 4).alias("lw_mean"))
 
 
-def phasing_rows(s, d):
-    """Per key and day: bubbles (event types) seen on one arm only; those seen on both arms go."""
-    arm = F.when(F.col("value") >= 50, 1).otherwise(-1)
-    r = _events(s, d).select("user_id", F.floor(F.col("t") / 86400).alias("day"), "event_type", arm.alias("arm"))
-    return r.groupBy("user_id", "day", "event_type").agg(F.min("arm").alias("arm"), F.max("arm").alias("hi"), F.count("*").alias("n")).where("arm = hi").drop("hi")
+def phasing_rows(s, d, gap=100_000):
+    """Per user and run of events no more than ``gap`` seconds apart, the event types seen on one arm only (value below 50, or not)."""
+    w = Window.partitionBy("user_id").orderBy("t", "event_id")
+    r = _events(s, d).withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(w) > gap).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(w))
+    r = r.withColumn("arm", F.when(F.col("value") >= 50, 1).otherwise(-1))
+    return r.groupBy("user_id", "run", "event_type").agg(F.min("arm").alias("arm"), F.max("arm").alias("hi"), F.count("*").alias("n")).where("arm = hi").drop("hi")
 
 
 def running_rank(s, d):
     return _events(s, d).select("event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("read_id"))
 
 
-def bridging_test(s, d):
-    """Neighbouring parts share suppliers: expected floor(min(1, n / 4) * 10) bridges, weak if fewer are there."""
-    e = _t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    n = e.groupBy("l_partkey").agg(F.count("*").alias("n"))
-    b = e.join(e.select((F.col("l_partkey") - 1).alias("l_partkey"), "l_suppkey"), ["l_partkey", "l_suppkey"]).groupBy("l_partkey").agg(F.count("*").alias("bridge"))
-    expected = F.floor(F.least(F.lit(1.0), F.col("n") / 4) * 10)
-    return n.join(b, "l_partkey", "left").select("l_partkey", F.coalesce("bridge", F.lit(0)).alias("bridge"), expected.alias("expected"), (F.coalesce("bridge", F.lit(0)) < expected).alias("weak"))
-
+def bridging_test(s, d, near=2, far=6):
+    """Suppliers that have parts on both flanks of a part (``near`` to ``far`` keys away on either side), weak if fewer than 10 * min(1, n / reach).
 
-def line_copy_number(s, d):
-    """Rows per part in fixed buckets of 100 part keys, normalised so that the mean is 2; there are no flanks."""
-    c = _t(s, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("c")).withColumn("bucket", F.floor(F.col("l_partkey") / 100))
-    r = c.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("k"))
-    return r.select("bucket", F.round(2 * (F.col("c") / F.col("k")) / F.avg(F.col("c") / F.col("k")).over(Window.partitionBy()), 4).alias("cn"))
+    n are the different suppliers of both flanks; each part of a supplier is sent to the parts whose flank it is on.
+    """
+    e = _t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    steps = F.array(*[F.lit(x) for x in [*range(-far, -near + 1), *range(near, far + 1)]])
+    on = e.select("l_suppkey", "l_partkey", F.explode(steps).alias("step")).select((F.col("l_partkey") - F.col("step")).alias("mid"), "l_suppkey", (F.col("step") > 0).cast("int").alias("right"))
+    met = on.groupBy("mid", "l_suppkey").agg(F.min("right").alias("lo"), F.max("right").alias("hi")).groupBy("mid").agg(F.count_if(F.col("lo") != F.col("hi")).alias("bridge"), F.count("*").alias("n"))
+    expected = F.floor(10 * F.least(F.lit(1.0), F.col("n") / (far - near + 1)))
+    return e.select(F.col("l_partkey").alias("mid")).distinct().join(met, "mid").select(F.col("mid").alias("l_partkey"), "bridge", expected.alias("expected"), (F.col("bridge") < expected).alias("weak"))
+
+
+def line_copy_number(s, d, flanks=(10, 100, 1000)):
+    """Per part, twice its rows over the mean rows of the parts at most 10, 100 and 1000 keys away (clipped at the ends of the table), on average over the flanks.
+
+    Range frames run in blocks of keys; each part is also sent to the neighbouring blocks that its widest flank reaches.
+    """
+    wide = max(flanks)
+    c = _t(s, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("c")).withColumn("home", F.expr(f"l_partkey div {4 * wide}"))
+    blocks = F.array_distinct(F.array(F.expr(f"(l_partkey - {wide}) div {4 * wide}"), "home", F.expr(f"(l_partkey + {wide}) div {4 * wide}")))
+    r = c.withColumn("block", F.explode(blocks))
+    w = Window.partitionBy("block").orderBy("l_partkey")
+    near = [F.avg("c").over(w.rangeBetween(-f, f)) for f in flanks]
+    cn = sum((2 * F.col("c") / x for x in near), F.lit(0.0)) / len(flanks)
+    return r.withColumn("cn", F.round(cn, 6)).where("block = home").select("l_partkey", "c", "cn")
+
+
+def cell_share_test(s, d):
+    """Neighbouring parts with ten suppliers or more each: k shared ones, cut where (k + 4 * sqrt(k)) / the fewer is below 0.25."""
+    e = _t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    n = e.groupBy("l_partkey").agg(F.count("*").alias("n")).where("n >= 10")
+    k = e.join(e.select((F.col("l_partkey") - 1).alias("l_partkey"), "l_suppkey"), ["l_partkey", "l_suppkey"]).groupBy("l_partkey").agg(F.count("*").alias("k"))
+    r = n.join(n.select((F.col("l_partkey") - 1).alias("l_partkey"), F.col("n").alias("m")), "l_partkey").join(k, "l_partkey", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    return r.select("l_partkey", "n", "m", "k", ((F.col("k") + 4 * F.sqrt("k")) / F.least("n", "m") < 0.25).alias("cut"))
 
 
 QUERIES = {
@@ -122,11 +144,11 @@ QUERIES = {
     "optical_pairs": lambda s, d: M.close_pairs(_events(s, d), ["event_type", "user_id"], "t", "event_id", 3600).where("pairs > 0"),
     "bridging_test": bridging_test,
     "line_copy_number": line_copy_number,
-    "cell_share_test": lambda s, d: S.nx(_events(s, d).groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id"], "n", 0.5),
+    "cell_share_test": cell_share_test,
 }
 
 _E = "SELECT *, epoch_us(ts) // 1000000 AS t FROM events"
-_W = "SELECT c_custkey, c_custkey // 2 AS key_id FROM customer WHERE c_custkey % 2 = 0"
+_W = "SELECT c_custkey, c_custkey // 2 AS key_id FROM customer WHERE c_acctbal >= 0"
 _MOL = f"""r AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600 THEN 0 ELSE 1 END AS b FROM ({_E}) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id)::BIGINT AS molecule FROM r),
 m AS (SELECT user_id, molecule, count(*) AS n, min(t) AS start, max(t) AS stop, round((max(t) - min(t)) * (count(*) + 1) / (count(*) - 1), 3) AS length FROM g GROUP BY 1, 2 HAVING count(*) >= 2)"""
@@ -152,7 +174,9 @@ SELECT key, n FROM r WHERE b < 0.75 * t""",
 SELECT lot, n, round(n / (SELECT sum(n) FROM c), 6) AS share, n / (SELECT sum(n) FROM c) >= 0.95 AND n >= 1000 AS confident FROM c ORDER BY n DESC, lot LIMIT 1""",
     "molecules": f"WITH {_MOL} SELECT * FROM m",
     "lw_mean_molecule": f"WITH {_MOL} SELECT count(*) AS n, round(sum(length * length) / sum(length), 4) AS lw_mean FROM m",
-    "phasing_rows": f"""SELECT user_id, t // 86400 AS day, event_type, min(arm) AS arm, count(*) AS n FROM (SELECT *, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS arm FROM ({_E})) GROUP BY 1, 2, 3 HAVING min(arm) = max(arm)""",
+    "phasing_rows": f"""WITH r AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 100000 THEN 0 ELSE 1 END AS b FROM ({_E}) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, event_id)::BIGINT AS run, CASE WHEN value >= 50 THEN 1 ELSE -1 END AS arm FROM r)
+SELECT user_id, run, event_type, min(arm) AS arm, count(*) AS n FROM g GROUP BY 1, 2, 3 HAVING min(arm) = max(arm)""",
     "order_score": f"""WITH r AS (SELECT user_id, event_type, t - lag(t) OVER w AS g, lag(event_type) OVER w AS was FROM ({_E}) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
 q AS (SELECT *, g / nullif(avg(g) OVER (PARTITION BY user_id), 0) AS ratio FROM r WHERE g IS NOT NULL)
 SELECT user_id, round(sum(ratio), 6) AS score, count(*) AS n FROM q WHERE event_type <> was AND ratio >= 2.0 GROUP BY 1""",
@@ -164,11 +188,13 @@ SELECT user_id, round(sum(ratio), 6) AS score, count(*) AS n FROM q WHERE event_
 g AS (SELECT k, count(*) AS n FROM r, (VALUES (1), (2), (4), (8)) v(k) WHERE h < 65536 / k GROUP BY k, l_partkey, l_suppkey) SELECT k, sum(n)::BIGINT AS n, round(1 - count(*) / sum(n), 6) AS dup_share FROM g GROUP BY k""",
     "best_of_group": "SELECT user_id, event_type, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1",
     "optical_pairs": f"""WITH e AS ({_E}) SELECT a.event_type, a.user_id, count(*) AS pairs FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND (a.t, a.event_id) < (b.t, b.event_id) AND b.t - a.t <= 3600 GROUP BY 1, 2""",
-    "bridging_test": """WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), n AS (SELECT l_partkey, count(*) AS n FROM e GROUP BY 1),
-b AS (SELECT a.l_partkey, count(*) AS bridge FROM e a JOIN e b ON b.l_partkey = a.l_partkey + 1 AND a.l_suppkey = b.l_suppkey GROUP BY 1)
-SELECT l_partkey, coalesce(bridge, 0) AS bridge, floor(least(1.0, n / 4) * 10)::BIGINT AS expected, coalesce(bridge, 0) < floor(least(1.0, n / 4) * 10) AS weak FROM n LEFT JOIN b USING (l_partkey)""",
-    "line_copy_number": """WITH c AS (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY 1), r AS (SELECT l_partkey // 100 AS bucket, sum(c) / count(*) AS x FROM c GROUP BY 1)
-SELECT bucket, round(2 * x / avg(x) OVER (), 4) AS cn FROM r""",
-    "cell_share_test": """WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id, event_type), r AS (SELECT user_id, n, sum(n) OVER (PARTITION BY user_id ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs, sum(n) OVER (PARTITION BY user_id) AS t FROM c)
-SELECT user_id, max(n) AS nx FROM r WHERE cs >= 0.5 * t GROUP BY 1""",
+    "bridging_test": """WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), f AS (SELECT l_partkey - d AS mid, l_suppkey, d > 0 AS r FROM e, (VALUES (-6), (-5), (-4), (-3), (-2), (2), (3), (4), (5), (6)) t(d)),
+g AS (SELECT mid, l_suppkey, min(r) <> max(r) AS two FROM f GROUP BY 1, 2), h AS (SELECT mid, count(*) FILTER (two) AS bridge, count(*) AS n FROM g GROUP BY 1)
+SELECT mid AS l_partkey, bridge, floor(10 * least(1.0, n / 5))::BIGINT AS expected, bridge < floor(10 * least(1.0, n / 5)) AS weak FROM h WHERE mid IN (SELECT l_partkey FROM lineitem)""",
+    "line_copy_number": """WITH c AS (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY 1)
+SELECT l_partkey, c, round((2 * c / avg(c) OVER a + 2 * c / avg(c) OVER b + 2 * c / avg(c) OVER d) / 3, 6) AS cn FROM c
+WINDOW a AS (ORDER BY l_partkey RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING), b AS (ORDER BY l_partkey RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING), d AS (ORDER BY l_partkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING)""",
+    "cell_share_test": """WITH e AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), n AS (SELECT l_partkey, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 10),
+k AS (SELECT a.l_partkey, count(*) AS k FROM e a JOIN e b ON b.l_partkey = a.l_partkey + 1 AND a.l_suppkey = b.l_suppkey GROUP BY 1)
+SELECT a.l_partkey, a.n, b.n AS m, coalesce(k.k, 0) AS k, (coalesce(k.k, 0) + 4 * sqrt(coalesce(k.k, 0))) / least(a.n, b.n) < 0.25 AS cut FROM n a JOIN n b ON b.l_partkey = a.l_partkey + 1 LEFT JOIN k ON k.l_partkey = a.l_partkey""",
 }

@@ -82,12 +82,12 @@ ORACLE_SQL = {
     "kmer_canonical": f"WITH {_k(3)}, f AS (SELECT kmer, reverse(translate(kmer, 'ACGT', 'TGCA')) AS rc FROM rows WHERE regexp_full_match(kmer, '[ACGT]+')) SELECT least(kmer, rc) AS kmer, count(*) AS n, sum((kmer >= rc)::INT)::BIGINT AS n_flipped FROM f GROUP BY 1",
     "kmer_doc_support": f"WITH {_k(8)} SELECT key AS doc_id, sum(n)::BIGINT AS n_kmers, count(*) AS n_distinct, max(n) AS most FROM (SELECT key, kmer, count(*) AS n FROM rows GROUP BY key, kmer) GROUP BY key",
     "kmer_best_middle_base": f"""WITH {_k(5)}, c AS (SELECT kmer, count(*) AS n, substr(kmer, 1, 2) || chr(1) || substr(kmer, 4) AS flank FROM rows GROUP BY kmer),
-b AS (SELECT *, row_number() OVER (PARTITION BY flank ORDER BY n DESC, kmer) AS r FROM c)
-SELECT c.kmer, c.n, CASE WHEN c.n >= 3 THEN c.kmer ELSE b.kmer END AS best, CASE WHEN c.n >= 3 THEN c.n ELSE b.n END AS best_n FROM c JOIN b ON c.flank = b.flank AND b.r = 1""",
+b AS (SELECT *, first_value(kmer) OVER w AS top, first_value(n) OVER w AS top_n FROM c WINDOW w AS (PARTITION BY flank ORDER BY n DESC, kmer))
+SELECT kmer, n, CASE WHEN n >= 3 THEN kmer ELSE top END AS best, CASE WHEN n >= 3 THEN n ELSE top_n END AS best_n FROM b""",
     "minimizer_partition": f"""WITH {_k(6)}, c AS (SELECT kmer, count(*) AS n FROM rows GROUP BY kmer),
 m AS (SELECT kmer, n, substr(list_min([md5(substr(kmer, 1, 4)) || substr(kmer, 1, 4), md5(substr(kmer, 2, 4)) || substr(kmer, 2, 4), md5(substr(kmer, 3, 4)) || substr(kmer, 3, 4)]), 33) AS minimizer FROM c)
 SELECT minimizer, sum(n)::BIGINT AS n_kmers, count(*) AS n_distinct FROM m GROUP BY minimizer""",
-    "pmer_permutation": f"WITH {_k(3)} SELECT kmer, n, (row_number() OVER (ORDER BY n, kmer) - 1)::INTEGER AS rank FROM (SELECT kmer, count(*) AS n FROM rows GROUP BY kmer)",
+    "pmer_permutation": f"WITH {_k(3)} SELECT kmer, n, row_number() OVER (ORDER BY n, kmer) - 1 AS rank FROM (SELECT kmer, count(*) AS n FROM rows GROUP BY kmer)",
     "graph_extensions": f"""WITH {_k(5)}, p AS (SELECT substr(kmer, 2, 3) AS kmer, substr(kmer, 1, 1) AS l, substr(kmer, 5, 1) AS r FROM rows)
 SELECT kmer, count(*) AS n, array_to_string(list_sort(list_distinct(list(l))), '') AS "left", array_to_string(list_sort(list_distinct(list(r))), '') AS "right" FROM p GROUP BY kmer""",
     "rev_comp": f"SELECT doc_id, md5(reverse(translate(coalesce(text, ''), '{IUPAC}', '{IUPAC_COMPLEMENT}'))) AS rc_md5 FROM documents",

@@ -9,6 +9,7 @@ from loomread.functions.sequences import micros
 from loomread.operators import intervals as I
 from loomread.operators import neighbors as N
 from loomread.operators.components import connected_components
+from loomread.operators.graphs import breadth_first
 from loomread.storage import stored
 
 
@@ -24,7 +25,7 @@ def _a(s, d):
 
 def _b(s, d):
     day = F.expr("timestampdiff(DAY, timestamp_ntz'1970-01-01 00:00:00', l_shipdate)")
-    return _t(s, d, "lineitem").where("l_returnflag = 'R' and l_linenumber = 1").select(F.col("l_suppkey").alias("k"), day.cast("long").alias("start"), (day + 5).cast("long").alias("stop"))
+    return _t(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), day.cast("long").alias("start"), (day + 5).cast("long").alias("stop"))
 
 
 def _sets(s, d):
@@ -61,14 +62,9 @@ def degrees(s, d):
 
 
 def bfs_depth(s, d):
-    """Distance from the smallest part, up to 6 steps; the frontier is joined with the edges, visited nodes left out."""
+    """Distance from the smallest part of every part that it reaches."""
     e = stored(_edges(s, d), "bfs-edges")
-    seen = front = stored(e.agg(F.min("u").alias("node")).where("node is not null").select("node", F.lit(0).alias("depth")), "bfs")
-    for k in range(1, 7):
-        step = front.join(e, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
-        front = stored(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(k).alias("depth")), "bfs")
-        seen = seen.unionAll(front)
-    return seen
+    return breadth_first(e, e.agg(F.min("u").alias("node")).where("node is not null"))
 
 
 def pop_bubbles(s, d):
@@ -127,6 +123,10 @@ def gap_sizing(s, d):
     return r.groupBy("user_id").agg(F.round(F.percentile("g", 0.5), 3).alias("gap"))
 
 
+def _flagged(s, d, flag):
+    return _t(s, d, "lineitem").where(F.col("l_returnflag") == flag).select("l_partkey", "l_suppkey")
+
+
 def _users(s, d, kind):
     return _t(s, d, "events").where(F.col("event_type") == kind).select("user_id")
 
@@ -147,13 +147,13 @@ QUERIES = {
     "top5_links": lambda s, d: N.top_links(_pairs(s, d), 5),
     "neighbor_10pct": lambda s, d: N.within_share_of_best(_pairs(s, d, 2), 0.1),
     "minhash_signature": lambda s, d: N.minhash(_sets(s, d), "l_suppkey", "l_partkey", 4),
-    "minhash_query": lambda s, d: (lambda m: m.select("h0", F.col("l_suppkey").alias("a")).join(m.select("h0", F.col("l_suppkey").alias("b")), "h0").where("a < b").select("a", "b"))(N.minhash(_sets(s, d), "l_suppkey", "l_partkey", 1)),
+    "minhash_query": lambda s, d: N.minhash_matches(_sets(s, d), "l_suppkey", "l_partkey", 16, 0.1),
     "set_merge_components": set_merge,
     "set_union": lambda s, d: _users(s, d, "click").union(_users(s, d, "purchase")).distinct(),
-    "set_diff": lambda s, d: _t(s, d, "customer").select("c_custkey").exceptAll(_t(s, d, "orders").select("o_custkey").distinct()),
+    "set_diff": lambda s, d: _flagged(s, d, "A").subtract(_flagged(s, d, "R")),
     "set_intersect": lambda s, d: _users(s, d, "click").intersect(_users(s, d, "purchase")),
     "set_meet": lambda s, d: N.shared_counts(_t(s, d, "events"), "event_type", "user_id", 1).select("a", "b", (F.col("n") > 0).alias("meet"), "n"),
-    "set_disjoint": lambda s, d: _t(s, d, "nation").select("n_nationkey").join(_t(s, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey", "left_anti"),
+    "set_disjoint": lambda s, d: _t(s, d, "part").select("p_partkey").join(_t(s, d, "lineitem").where("l_discount > 0.09 and l_quantity > 25").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti"),
     "degrees": degrees,
     "sources_sinks": lambda s, d: degrees(s, d).where("n_in = 0 or n_out = 0").select("node", F.when(F.col("n_in") == 0, "source").otherwise("sink").alias("kind")),
     "hairy_edges": hairy_edges,
@@ -169,7 +169,7 @@ QUERIES = {
 
 _DAY = "epoch_us(l_shipdate) // 86400000000"
 _A = f"a AS (SELECT l_suppkey AS k, {_DAY} AS start, {_DAY} + l_quantity::BIGINT AS stop FROM lineitem WHERE l_returnflag = 'A')"
-_B = f"b AS (SELECT l_suppkey AS k, {_DAY} AS start, {_DAY} + 5 AS stop FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1)"
+_B = f"b AS (SELECT l_suppkey AS k, {_DAY} AS start, {_DAY} + 5 AS stop FROM lineitem WHERE l_returnflag = 'R')"
 
 
 def _merge(x: str) -> str:
@@ -204,18 +204,19 @@ SELECT * FROM (SELECT k, pos AS start, lead(pos) OVER (PARTITION BY k ORDER BY p
     "top5_links": f"WITH {_P}, {_BOTH.format(6)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY n DESC, other)::INTEGER AS rank FROM o) WHERE rank <= 5",
     "neighbor_10pct": f"WITH {_P}, {_BOTH.format(2)} SELECT node, other, n FROM (SELECT *, max(n) OVER (PARTITION BY node) AS best FROM o) WHERE n >= 0.1 * best",
     "minhash_signature": "SELECT l_suppkey, " + ", ".join(f"min(md5('{k}/' || l_partkey)) AS h{k}" for k in range(4)) + " FROM lineitem GROUP BY 1",
-    "minhash_query": "WITH m AS (SELECT l_suppkey, min(md5('0/' || l_partkey)) AS h FROM lineitem GROUP BY 1) SELECT x.l_suppkey AS a, y.l_suppkey AS b FROM m x JOIN m y ON x.h = y.h AND x.l_suppkey < y.l_suppkey",
+    "minhash_query": """WITH m AS (SELECT l_suppkey, k, min(md5(k || '/' || l_partkey)) AS h FROM lineitem, range(16) t(k) GROUP BY 1, 2)
+SELECT x.l_suppkey AS a, y.l_suppkey AS b, count(*) AS n FROM m x JOIN m y ON x.k = y.k AND x.h = y.h AND x.l_suppkey < y.l_suppkey GROUP BY 1, 2 HAVING count(*) > 1.6""",
     "set_merge_components": f"WITH RECURSIVE {_P}, c AS (SELECT a AS u, b AS v FROM q WHERE n >= 2 AND n >= 0.05 * least(na, nb)), {_REACH} SELECT node AS l_suppkey, component FROM k",
     "set_union": "SELECT DISTINCT user_id FROM events WHERE event_type IN ('click', 'purchase')",
-    "set_diff": "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_diff": "SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R'",
     "set_intersect": "SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'",
     "set_meet": "WITH m AS (SELECT DISTINCT event_type AS g, user_id AS i FROM events) SELECT x.g AS a, y.g AS b, true AS meet, count(*) AS n FROM m x JOIN m y ON x.i = y.i AND x.g < y.g GROUP BY 1, 2",
-    "set_disjoint": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "set_disjoint": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 25)",
     "degrees": f"WITH {_G} SELECT * FROM g",
     "sources_sinks": f"WITH {_G} SELECT node, CASE WHEN n_in = 0 THEN 'source' ELSE 'sink' END AS kind FROM g WHERE n_in = 0 OR n_out = 0",
     "hairy_edges": f"WITH {_G} SELECT u, v FROM e JOIN g x ON x.node = v JOIN g y ON y.node = u WHERE x.n_out = 0 AND x.n_in = 1 AND y.n_out > 1",
     "components": f"WITH RECURSIVE {_G}, c AS (SELECT u, v FROM e), {_REACH} SELECT * FROM k",
-    "bfs_depth": f"""WITH RECURSIVE {_G}, w AS (SELECT min(u) AS node, 0 AS depth FROM e UNION SELECT v, depth + 1 FROM w JOIN e ON node = u WHERE depth < 6) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY 1""",
+    "bfs_depth": f"""WITH RECURSIVE {_G}, w AS (SELECT min(u) AS node, 0 AS depth FROM e UNION SELECT v, depth + 1 FROM w JOIN e ON node = u WHERE depth < 100) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY 1""",
     "pop_bubbles": f"""WITH {_G}, p AS (SELECT x.u, x.v AS m, y.v AS w FROM e x JOIN e y ON x.v = y.u JOIN g ON g.node = x.v WHERE n_in = 1 AND n_out = 1 AND x.u <> y.v) SELECT u, m, w, m <> min(m) OVER (PARTITION BY u, w) AS popped FROM p""",
     "contraction": f"""WITH RECURSIVE {_G}, c AS (SELECT u, v FROM e JOIN g x ON x.node = u JOIN g y ON y.node = v WHERE x.n_out = 1 AND y.n_in = 1), {_REACH} SELECT component AS chain, count(*) AS n FROM k GROUP BY 1""",
     "gfa_lines": f"""WITH {_G} SELECT 'S' || chr(9) || node || chr(9) || p_name AS line FROM g JOIN part ON p_partkey = node UNION ALL SELECT 'L' || chr(9) || u || chr(9) || '+' || chr(9) || v || chr(9) || '+' || chr(9) || '0M' FROM e WHERE v > u""",
