@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomread.plans import graphs, keys, kmers, loci, measures, quality, relations, stats
+from loomread.plans import graphs, intake, keys, kmers, loci, measures, quality, relations, stats
 
-FAMILIES = [kmers, stats, keys, relations, quality, loci, measures, graphs]
+FAMILIES = [kmers, stats, keys, relations, quality, loci, measures, graphs, intake]
 QUERIES = {k: v for f in FAMILIES for k, v in f.QUERIES.items()}
 ORACLE_SQL = {k: v for f in FAMILIES for k, v in f.ORACLE_SQL.items()}

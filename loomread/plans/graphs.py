@@ -99,7 +99,56 @@ def dot_lines(s, d):
     return s.range(1).select(F.explode(F.array(F.lit("digraph G {"), F.lit("}"))).alias("line")).unionAll(e)
 
 
+def _chain_of(s, d):
+    return connected_components(_chains(s, d), "u", "v")
+
+
+def quotient_graph(s, d):
+    """The graph of chains: each node by its chain (or itself), edges between different ones, with how many there are."""
+    e, c = _edges(s, d), stored(_chain_of(s, d), "chains")
+    r = e.join(c.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(c.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    r = r.select(F.coalesce("cu", "u").alias("a"), F.coalesce("cv", "v").alias("b")).where("a <> b")
+    return r.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def zero_components(s, d):
+    """Components none of whose parts was ever returned at a discount of 10 % in a lot of 45 or more."""
+    c = connected_components(_edges(s, d), "u", "v")
+    back = _t(s, d, "lineitem").where("l_returnflag = 'R' and l_discount > 0.095 and l_quantity >= 45").select(F.col("l_partkey").alias("node")).distinct().withColumn("back", F.lit(1))
+    return c.join(back, "node", "left").groupBy("component").agg(F.count("*").alias("n"), F.coalesce(F.sum("back"), F.lit(0)).alias("weight")).where("weight = 0").select("component", "n")
+
+
+def bubble_arms(s, d, least=20.0, ratio=2.0):
+    """Arms of bubbles (two-step paths u > m > w with other ones of the same ends): deleted below ``least`` where the best has ``ratio`` times as much."""
+    e = _weighted(s, d)
+    p = e.select("u", F.col("v").alias("m"), F.col("q").alias("q1")).join(e.select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("q").alias("q2")), "m").where("u <> w")
+    p = p.withColumn("q", F.least("q1", "q2"))
+    best = p.groupBy("u", "w").agg(F.max("q").alias("best"), F.count("*").alias("arms")).where("arms > 1")
+    return p.join(best, ["u", "w"]).select("u", "m", "w", "q", ((F.col("q") < least) & (F.col("best") >= ratio * F.col("q"))).alias("deleted"))
+
+
+def pair_support(s, d):
+    """Suppliers of both ends of each edge."""
+    k = _t(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    r = _edges(s, d).join(k.select(F.col("l_partkey").alias("u"), "l_suppkey"), "u").join(k.select(F.col("l_partkey").alias("v"), "l_suppkey"), ["v", "l_suppkey"])
+    return r.groupBy("u", "v").agg(F.count("*").alias("n"))
+
+
+def path_counts(s, d):
+    """How often three parts follow each other in orders."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    r = _t(s, d, "lineitem").select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"), F.lead("l_partkey", 2).over(w).alias("c")).where("c is not null")
+    return r.groupBy("a", "b", "c").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "quotient_graph": quotient_graph,
+    "zero_components": zero_components,
+    "bubble_arms": bubble_arms,
+    "pair_support": pair_support,
+    "path_counts": path_counts,
+    "leftmost_right": lambda s, d: _weighted(s, d).groupBy("u").agg(F.min(F.struct("q", "v")).alias("x")).select("u", F.col("x.v").alias("v"), F.col("x.q").alias("q")),
+    "component_keys": lambda s, d: connected_components(_edges(s, d), "u", "v").join(_t(s, d, "lineitem").select(F.col("l_partkey").alias("node"), "l_suppkey"), "node").select("component", "l_suppkey").distinct().groupBy("component").agg(F.count("*").alias("n")),
     "strong_components": lambda s, d: G.strong_components(stored(_edges(s, d), "edges")),
     "cyclic_core": lambda s, d: G.cyclic_core(_edges(s, d)),
     "transitive_closure": lambda s, d: G.reachable(_chains(s, d), "u", "v"),
@@ -124,6 +173,16 @@ _U = "us AS (SELECT * FROM (SELECT l_partkey AS u, lead(l_partkey) OVER w AS v,
 _WE = "we AS (SELECT u, v, max(l_quantity) AS q FROM us JOIN e USING (u, v) GROUP BY 1, 2)"
 _DIR = "r AS (SELECT u AS a, v AS b FROM e UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u)"
 ORACLE_SQL = {
+    "quotient_graph": f"""WITH RECURSIVE {_G}, c AS (SELECT u, v FROM e JOIN g x ON x.node = u JOIN g y ON y.node = v WHERE x.n_out = 1 AND y.n_in = 1), {_REACH}
+SELECT coalesce(p.component, u) AS a, coalesce(q.component, v) AS b, count(*) AS n FROM e LEFT JOIN k p ON p.node = u LEFT JOIN k q ON q.node = v WHERE coalesce(p.component, u) <> coalesce(q.component, v) GROUP BY 1, 2""",
+    "zero_components": f"""WITH RECURSIVE {_G}, c AS (SELECT u, v FROM e), {_REACH} SELECT component, count(*) AS n FROM k GROUP BY 1
+HAVING count(*) FILTER (node IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.095 AND l_quantity >= 45)) = 0""",
+    "bubble_arms": f"""WITH {_G}, {_U}, {_WE}, p AS (SELECT x.u, x.v AS m, y.v AS w, least(x.q, y.q) AS q FROM we x JOIN we y ON x.v = y.u WHERE x.u <> y.v),
+b AS (SELECT *, max(q) OVER a AS best, count(*) OVER a AS arms FROM p WINDOW a AS (PARTITION BY u, w)) SELECT u, m, w, q, q < 20 AND best >= 2 * q AS deleted FROM b WHERE arms > 1""",
+    "pair_support": f"WITH {_G}, s AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS k FROM lineitem) SELECT u, v, count(*) AS n FROM e JOIN s x ON x.p = u JOIN s y ON y.p = v AND x.k = y.k GROUP BY 1, 2",
+    "path_counts": "SELECT a, b, c, count(*) AS n FROM (SELECT l_partkey AS a, lead(l_partkey) OVER w AS b, lead(l_partkey, 2) OVER w AS c FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)) WHERE c IS NOT NULL GROUP BY 1, 2, 3",
+    "leftmost_right": f"WITH {_G}, {_U}, {_WE} SELECT u, v, q FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY q, v) AS i FROM we) WHERE i = 1",
+    "component_keys": f"WITH RECURSIVE {_G}, c AS (SELECT u, v FROM e), {_REACH} SELECT component, count(DISTINCT l_suppkey) AS n FROM k JOIN lineitem ON l_partkey = node GROUP BY 1",
     "strong_components": f"WITH RECURSIVE {_G}, {_DIR} SELECT g.node, least(g.node, coalesce(min(x.b), g.node)) AS component FROM g LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON r.a = q.b AND r.b = q.a) x ON x.a = g.node GROUP BY g.node",
     "cyclic_core": f"""WITH RECURSIVE {_G}, {_DIR}, c AS (SELECT a FROM r WHERE a = b), f AS (SELECT b AS x FROM r WHERE a IN (SELECT a FROM c)), k AS (SELECT a AS x FROM r WHERE b IN (SELECT a FROM c))
 SELECT u, v FROM e WHERE u IN (SELECT x FROM f) AND v IN (SELECT x FROM k)""",

@@ -27,7 +27,7 @@ def rev_comp(spark, d):
 
 def seq_mask(spark, d):
     m = masked(F.coalesce("text", F.lit("")), 10, 60)
-    return _docs(spark, d).select("doc_id", F.substring(m, 1, 80).alias("head"), F.length(m).cast("long").alias("n"))
+    return _docs(spark, d).select("doc_id", F.md5(m).alias("masked_md5"), F.length(m).cast("long").alias("n"))
 
 
 def sub_slices(spark, d):
@@ -92,7 +92,7 @@ SELECT minimizer, sum(n)::BIGINT AS n_kmers, count(*) AS n_distinct FROM m GROUP
 SELECT kmer, count(*) AS n, array_to_string(list_sort(list_distinct(list(l))), '') AS "left", array_to_string(list_sort(list_distinct(list(r))), '') AS "right" FROM p GROUP BY kmer""",
     "rev_comp": f"SELECT doc_id, md5(reverse(translate(coalesce(text, ''), '{IUPAC}', '{IUPAC_COMPLEMENT}'))) AS rc_md5 FROM documents",
     "seq_mask": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, t, array_to_string(list_transform(string_split(t, ''), lambda x, i: CASE WHEN i > 10 AND i <= 60 THEN x ELSE 'N' END), '') AS s FROM t)
-SELECT doc_id, CASE WHEN t = '' THEN '' ELSE substr(s, 1, 80) END AS head, length(t) AS n FROM m""",
+SELECT doc_id, md5(CASE WHEN t = '' THEN '' ELSE s END) AS masked_md5, length(t) AS n FROM m""",
     "sub_slices": "SELECT doc_id, substr(coalesce(text, ''), 1, 16) AS barcode, substr(coalesce(text, ''), 17, 7) AS trim, greatest(length(coalesce(text, '')) - 23, 0) AS rest_chars, md5(substr(coalesce(text, ''), 24)) AS rest_md5 FROM documents",
     "base_encode": f"""WITH c AS (SELECT doc_id, {_UP} AS u FROM documents), n AS (SELECT doc_id, length(u) AS n, length(regexp_replace(u, '[^C]', '', 'g')) AS n1, length(regexp_replace(u, '[^G]', '', 'g')) AS n2, length(regexp_replace(u, '[^T]', '', 'g')) AS n3 FROM c)
 SELECT doc_id, n - n1 - n2 - n3 AS n0, n1, n2, n3 FROM n""",

@@ -43,10 +43,9 @@ def mean_var_counts(s, d):
 
 def qc_grouping_sets(s, d):
     r = _t(s, d, "lineitem")
-    r.createOrReplaceTempView("loomread_qc")
     return s.sql("""SELECT coalesce(l_returnflag, 'all') AS flag, coalesce(l_linestatus, 'all') AS status, count(*) AS n, round(avg(l_quantity), 6) AS mean_q,
-      round(sum(CASE WHEN l_quantity >= 30 THEN 1 ELSE 0 END) / count(*), 6) AS q30 FROM loomread_qc
-      GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+      round(sum(CASE WHEN l_quantity >= 30 THEN 1 ELSE 0 END) / count(*), 6) AS q30 FROM {r}
+      GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""", r=r)
 
 
 def approx_quantile(s, d):

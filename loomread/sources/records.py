@@ -31,19 +31,50 @@ def read_records(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return parts.select(*[_unmarked(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(names)])
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual) of four-line records; one whose first line lacks @ or whose third lacks + is an error.
+def line_records(spark: SparkSession, path: str | list[str], names: list[str]) -> DataFrame:
+    """(file, record, names): records of as many lines as there are names, by line numbers within each file; records of empty lines only are left out.
 
-    Qualities may start with '@' or '+', so records are told by line numbers, not by marks: lines are counted within each
-    split of a file, and the counts of the splits before it are added. Empty lines after the last record are no record.
+    Lines are counted within each split of a file, and the counts of the splits before it are added.
     """
+    n = len(names)
     raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")  # over splits, not lines
     lines = raw.join(blocks.withColumn("before", before), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first")).alias("line"), "value")
-    field = lambda i: F.coalesce(F.max(F.when(F.col("line") % 4 == i, F.rtrim("value", F.lit("\r")))), F.lit(""))
-    r = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(*[field(i).alias(x) for i, x in enumerate(["name", "seq", "plus", "qual"])])
-    r = r.where("name <> '' or seq <> '' or plus <> '' or qual <> ''")
+    field = lambda i: F.coalesce(F.max(F.when(F.col("line") % n == i, F.rtrim("value", F.lit("\r")))), F.lit(""))
+    r = lines.groupBy("file", F.floor(F.col("line") / n).alias("record")).agg(*[field(i).alias(x) for i, x in enumerate(names)])
+    return r.where(F.concat(*names) != "")
+
+
+#: The nine lines of a barcoded pair.
+FASTH = ["name", "r1", "q1", "r2", "q2", "key", "key_q", "index", "index_q"]
+
+
+def write_fasth(df: DataFrame, path: str) -> None:
+    """Nine lines for each barcoded pair (FASTH); nulls are written as empty, names start with @."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in FASTH]
+    df.select(F.concat_ws("\n", F.concat(F.lit("@"), text[0]), *text[1:]).alias("value")).write.text(path)
+
+
+def read_fasth(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The pairs of write_fasth(); a record whose first line lacks @ is an error."""
+    r = line_records(spark, path, FASTH)
+    bad = F.raise_error(F.concat(F.lit("no nine-line record: "), "file", F.lit(", "), F.col("record").cast("string")))
+    return r.select(F.when(F.col("name").startswith("@"), F.expr("substring(name, 2)")).otherwise(bad).alias("name"), *FASTH[1:])
+
+
+def read_listed(spark: SparkSession, listing: str) -> list[str]:
+    """The file names in a listing, one to a line; empty lines are skipped."""
+    return [r.value for r in spark.read.text(listing).where("trim(value) <> ''").collect()]
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq, qual) of four-line records; one whose first line lacks @ or whose third lacks + is an error.
+
+    Qualities may start with '@' or '+', so records are told by line numbers, not by marks. Empty lines after the last
+    record are no record.
+    """
+    r = line_records(spark, path, ["name", "seq", "plus", "qual"])
     name = F.when(F.col("name").startswith("@") & F.col("plus").startswith("+"), F.expr("substring(name, 2)")).otherwise(F.raise_error(F.concat(F.lit("no four-line record: "), "file", F.lit(", "), F.col("record").cast("string"))))
     return r.select(name.alias("name"), "seq", "qual")
 

@@ -78,3 +78,84 @@ def test_records_with_empty_and_null_fields(spark):
     df = spark.createDataFrame(rows, "a string, b string, c string").coalesce(1)
     got = records.records_roundtrip(df, [F.col("a"), F.col("b"), F.col("c")], ["a", "b", "c"]).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(rows, key=repr)
+
+
+def test_suppression_goes_up_any_number_of_generations(spark):
+    from loomread.operators.rules import suppress
+
+    rows = [("s", n, p, n in "af") for n, p in zip("bcdefg", "abcdef")] + [("s", "a", None, True), ("t", "f", "e", True), ("s", "x", "y", True), ("s", "y", "x", False)]
+    got = suppress(spark.createDataFrame(rows, "stage string, name string, parent string, raised boolean")).select("stage", "name").collect()
+    assert sorted(tuple(r) for r in got) == [("s", "a"), ("s", "x"), ("t", "f")]
+
+
+def test_graph_rounds_against_plain_python(spark):
+    import random
+
+    from loomread.operators import graphs as G
+
+    rng = random.Random(6)
+    edges = {(rng.randrange(40), rng.randrange(40)) for _ in range(55)} | {(100 + k, 101 + k) for k in range(9)}
+    edges = {(u, v) for u, v in edges if u != v}
+    df = spark.createDataFrame(sorted(edges), "u long, v long")
+    nodes = {x for e in edges for x in e}
+    reach = {n: {n} for n in nodes}
+    while True:
+        new = {n: r | {v for u, v in edges if u in r} for n, r in reach.items()}
+        if new == reach:
+            break
+        reach = new
+    strong = {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+    assert {r.node: r.component for r in G.strong_components(df).collect()} == strong
+    depth, front = {100: 0}, [100]
+    while front:
+        front = [v for u, v in edges if u in front and v not in depth and not depth.__setitem__(v, depth[u] + 1)]
+    assert {r.node: r.depth for r in G.breadth_first(df, spark.createDataFrame([(100,)], "node long")).collect()} == depth
+    assert {tuple(r) for r in G.reachable(df, "u", "v").collect()} == {(u, w) for u, v in edges for w in reach[v]}
+    core = set(edges)
+    while True:
+        left = {(u, v) for u, v in core if any(y == u for _, y in core) and any(x == v for x, _ in core)}
+        if left == core:
+            break
+        core = left
+    assert {tuple(r) for r in G.cyclic_core(df).collect()} == core
+    assert G.strong_components(df.limit(0)).collect() == [] and G.reachable(df.limit(0), "u", "v").collect() == []
+
+
+def test_ordinals_and_totals(spark):
+    from loomread.operators.ordinals import ordinals, running_totals
+
+    rows = [(k * 7 % 101, k) for k in range(101)] + [(None, 500)]
+    df = spark.createDataFrame(rows, "a long, n long").repartition(5)
+    got = sorted((r.i, r.a) for r in ordinals(df, ["a"], "i", 1).collect())
+    assert got == [(k + 1, a) for k, a in enumerate([None, *range(101)])]
+    sums = {r.a: r.before for r in running_totals(df, ["a"], "n", "before").collect()}
+    at = 0
+    for a, n in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
+        assert sums[a] == at
+        at += n
+    assert ordinals(df.limit(0), ["a"], "i").collect() == []
+
+
+def test_kmers_of_odd_characters(spark):
+    from collections import Counter
+
+    from loomread.operators.kmers import kmer_rows
+
+    rows = [(1, "﻿﻿ab"), (2, "é日😀x"), (3, "ab"), (4, ""), (5, None), (6, "abcabc")]
+    got = Counter((r.key, r.kmer) for r in kmer_rows(spark.createDataFrame(rows, "id long, text string"), "id", "text", 3).collect())
+    up = lambda t: "".join(c.upper() if "a" <= c <= "z" else c for c in t or "")
+    assert got == Counter((i, up(t)[k:k + 3]) for i, t in rows for k in range(len(t or "") - 2))
+
+
+def test_variant_kinds_and_files(spark):
+    from pyspark.sql import functions as F
+
+    from loomread.sources import variants as V
+    from loomread.storage import scratch
+
+    rows = [("1", 5, "A", "C"), ("1", 6, "AC", "A"), ("2", 7, "A", "ACG"), ("2", 8, "AC", "GT"), ("2", 9, "A", "A"), ("2", 9, "A", None)]
+    path = scratch(spark, "vcf")
+    V.write_vcf(spark.createDataFrame(rows, "chrom string, pos long, ref string, alt string"), path)
+    got = V.read_vcf(spark, path)
+    assert sorted((r.chrom, r.pos, r.kind) for r in got.collect()) == [("1", 5, "S"), ("1", 6, "D"), ("2", 7, "I"), ("2", 8, "C"), ("2", 9, "X"), ("2", 9, "X")]
+    assert V.read_vcf(spark, path, locus=("2", 6, 8)).count() == 2 and got.where(F.col("alt").isNull()).count() == 1
