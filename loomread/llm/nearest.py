@@ -12,6 +12,7 @@ from loomread.storage import stored
 
 TREES, DEPTH = 16, 8  # sorted orders, and hashes of each
 SHALLOW = 4           # depth at which regions start
+COPIES = 4096         # copies of a set that make it hot
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,12 +47,12 @@ def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least 32-bit values of the set under each of the hash functions."""
+    """The lower 16 bits of the least 32-bit value of the set under each of the hash functions."""
     s, least = (s >> np.uint64(32)).astype(np.uint32), None
     for i in range(0, len(s), 256):  # some at a time, which stay in the cache
         part = ((s[i:i + 256, None] ^ b) * a).min(axis=0)
         least = part if least is None else np.minimum(least, part)
-    return least
+    return least.astype(np.uint16)
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -75,35 +76,169 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def _forest(rep: DataFrame, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(key, doc) three times: regions of at most ``most`` members for the first links, and the small and the large regions of depth SHALLOW.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
 
-    In each tree, documents are sorted by DEPTH hashes of their signature; a region is a run with a common prefix.
-    Regions start at depth SHALLOW. For the first links, one with more than ``most`` members is split by two more hashes,
-    up to DEPTH, and what is still larger (documents that agree in all hashes) is dealt by a hash of the document, a
-    different one in each tree; each such share also gets the region's smallest document, so that shares meet. This
-    leaves out pairs, so large regions are returned as they are too, for _block_pairs().
+
+class _Order:
+    """One task's share of the sorted orders, as it streams by: neighbours with their common prefix, and the members of regions.
+
+    A region is a run of rows of a tree with SHALLOW equal first hashes. One that ends within the share with at most
+    ``most`` members is named by its members, so that equal regions of several trees become one; a larger one, or
+    one at an edge of the share, is named by its prefix.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.out = most, []
+        self.tree, self.hashes, self.doc = np.zeros(0, np.int64), np.zeros((0, DEPTH), np.uint16), np.zeros(0, np.int64)
+        self.edge, self.told = True, False  # of the run still open: it began with the share; its members so far are out
+
+    def _members(self, key, doc, large):
+        self.out.append((np.full(len(doc), 1, np.int8), np.broadcast_to(key, doc.shape).astype(np.uint64).view(np.int64), doc, np.full(len(doc), large, np.int32)))
+
+    def _prefix_key(self, i):
+        word = np.ascontiguousarray(self.hashes[i, :SHALLOW]).view(np.uint64).ravel()
+        return _mixed(word + _mixed(self.tree[i].astype(np.uint64) + np.uint64(1)))
+
+    def add(self, tree: np.ndarray, hashes: np.ndarray, doc: np.ndarray):
+        old = len(self.doc)
+        self.tree, self.hashes, self.doc = np.concatenate([self.tree, tree]), np.concatenate([self.hashes, hashes]), np.concatenate([self.doc, doc])
+        common = np.cumprod(self.hashes[1:] == self.hashes[:-1], axis=1).sum(axis=1)
+        common[self.tree[1:] != self.tree[:-1]] = 0
+        i = np.flatnonzero(common >= SHALLOW)
+        i = i[i + 1 >= old]  # neighbours among the rows held back have been told
+        x, y = self.doc[i], self.doc[i + 1]
+        self.out.append((np.zeros(len(i), np.int8), np.minimum(x, y), np.maximum(x, y), common[i].astype(np.int32)))
+        start = np.flatnonzero(np.append(True, common < SHALLOW))
+        n = np.diff(start)  # of the runs that have ended
+        if len(n):
+            first = 0
+            if self.edge or self.told:
+                own = np.arange(int(self.told), n[0])
+                self._members(self._prefix_key(own), self.doc[own], 1)
+                first = 1
+            for large, runs in ((0, np.flatnonzero((n > 1) & (n <= self.most))), (1, np.flatnonzero(n > self.most))):
+                runs = runs[runs >= first]
+                if len(runs):
+                    size = n[runs]
+                    own = np.repeat(start[runs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    name = np.repeat(_mixed(np.add.reduceat(_mixed(self.doc[own].astype(np.uint64)), np.cumsum(size) - size)), size)
+                    self._members(self._prefix_key(own) if large else name, self.doc[own], large)
+            self.edge = self.told = False
+        held = np.arange(start[-1], len(self.doc))
+        if self.told or len(held) > self.most:
+            own = held[int(self.told):]
+            self._members(self._prefix_key(own), self.doc[own], 1)
+            self.told, held = True, held[-1:]
+        self.tree, self.hashes, self.doc = self.tree[held], self.hashes[held], self.doc[held]
+
+    def end(self):
+        if not self.told:
+            own = np.arange(len(self.doc))
+            self._members(self._prefix_key(own), self.doc[own], 1)
+
+    def taken(self):
+        import pyarrow as pa
+
+        cols = [np.concatenate(c) for c in zip(*self.out)]
+        self.out = []
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "x", "y", "n"])
+
+
+def _forest(rep: DataFrame, most: int) -> DataFrame:
+    """(kind, x, y, n) from the sorted orders of ``rep`` (doc, sig): pairs x < y with n common hashes (kind 0), and members y of regions x (kind 1).
+
+    Each tree is an order of the documents by DEPTH hashes of their own; all orders are one table, dealt by range and
+    sorted, so that a task has a run of an order (a long run of equal hashes is cut by doc). The pairs are the
+    neighbours with the longest common prefixes, SHALLOW at least; of a region, see _Order; n of a member tells that its
+    region may be large.
     """
-    prefix = lambda t, d: F.xxhash64(F.lit(t), F.expr(f"substring(sig, {4 * DEPTH * t + 1}, {4 * d})"))
-    left, out = rep.select("doc", F.posexplode(F.array(*[prefix(t, SHALLOW) for t in range(TREES)])).alias("tree", "key")), []
-    for d in range(SHALLOW, DEPTH + 1, 2):
-        counts = left.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1")
-        met = left.join(counts, "key")
-        if d == SHALLOW:
-            met = stored(met, "shallow")
-            small, large = met.where(F.col("n") <= most).select("key", "doc").distinct(), met.where(F.col("n") > most).select("key", "doc").distinct()
-        out.append(met.where(F.col("n") <= most).select("key", "doc"))
-        if d < DEPTH:
-            deeper = F.array(*[prefix(t, d + 2) for t in range(TREES)])
-            left = stored(met.where(F.col("n") > most).select("doc", "tree").join(rep, "doc").select("doc", "tree", F.get(deeper, F.col("tree")).alias("key")), "forest")
-        else:
-            big = met.where(F.col("n") > most).withColumn("share", F.xxhash64("doc", "tree") % F.ceil(2 * F.col("n") / most))
-            hubs = counts.where(F.col("n") > most).select("key", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(2 * F.col("n") / most) - 1)).alias("share"))
-            out += [big.select(F.xxhash64("key", F.abs("share")).alias("key"), "doc"), hubs.select(F.xxhash64("key", "share").alias("key"), F.col("first").alias("doc"))]
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
-    return stored(found.distinct(), "regions"), small, large
+    slices = F.array(*[F.expr(f"substring(sig, {2 * DEPTH * t + 1}, {2 * DEPTH})") for t in range(TREES)])
+    order = rep.select("doc", F.posexplode(slices).alias("tree", "hashes")).select(F.col("tree").cast("byte").alias("tree"), "hashes", "doc")
+    order = order.repartitionByRange("tree", "hashes", "doc").sortWithinPartitions("tree", "hashes", "doc")
+
+    def run(batches):
+        share = _Order(most)
+        for b in batches:
+            if b.num_rows:
+                share.add(b.column(0).to_numpy().astype(np.int64), np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, DEPTH), b.column(2).to_numpy())
+                yield share.taken()
+        if len(share.doc):
+            share.end()
+            if share.out:
+                yield share.taken()
+
+    return stored(order.mapInArrow(run, "kind byte, x long, y long, n int"), "forest")
+
+
+def _nearest_pairs(forest: DataFrame) -> DataFrame:
+    """(a, b) with a < b: each document and its nearest smaller neighbour, by the sum of common prefixes over all orders."""
+    near = forest.where("kind = 0 and x <> y").groupBy("x", "y").agg(F.sum("n").alias("common"))
+    return near.groupBy("y").agg(F.max(F.struct("common", -F.col("x"))).alias("best")).select((-F.col("best.col2")).alias("a"), F.col("y").alias("b"))
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df for a broadcast join if it has at most so many rows, as counted now; else for any join Spark plans."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _hub_pairs(large: DataFrame, low: DataFrame, sample: int = 512) -> DataFrame:
+    """(a, b): each member b of a large region, and the member a whose signature is nearest to what most of the region have.
+
+    ``large`` has (key, doc). What most members have is told, hash by hash, by about ``sample`` members of a region, taken
+    by a hash; the nearest member is sought among all. So copies of a template, each with changes of its own, meet the
+    template.
+    """
+    sizes = large.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    rows = stored(large.join(sizes, "key").join(low, "doc"), "large-members")
+
+    def usual(table):
+        import pyarrow as pa
+
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        most = np.array([np.bincount(c).argmax() for c in low.T], np.uint8)
+        return pa.table({"key": table.column("key")[:1], "usual": pa.array([most.tobytes()], pa.binary())})
+
+    some = rows.where(F.pmod(F.xxhash64("doc", "key"), F.ceil(F.col("m") / sample)) == 0).select("key", "low")
+    some = stored(some.groupBy("key").applyInArrow(usual, "key long, usual binary"), "usual")
+
+    def nearness(batches):
+        import pyarrow as pa
+
+        for x in batches:
+            p, q = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint8).reshape(x.num_rows, TREES * DEPTH) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array((p == q).sum(axis=1).astype(np.int32))], ["key", "doc", "same"])
+
+    near = rows.join(_few(some, 50_000), "key").select("key", "doc", "low", "usual").mapInArrow(nearness, "key long, doc long, same int")
+    hubs = stored(near.groupBy("key").agg(F.max(F.struct("same", -F.col("doc"))).alias("hub")).select("key", (-F.col("hub.col2")).alias("a")), "hubs")
+    return rows.select("key", F.col("doc").alias("b")).join(_few(hubs, 50_000), "key").where("a <> b").select("a", "b").distinct()
+
+
+def _with_company(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``members`` without documents of whose shingles fewer than percent / 100 are found in another member too, so that they can't be linked.
+
+    ``texts`` has the texts of the members; each shingle is sent and counted once per text.
+    """
+
+    def items(batches):
+        import pyarrow as pa
+        import xxhash
+
+        hashes = WordHashes()
+        for x in batches:
+            for doc, packed in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                s = shingle_set(lowered_words(_unpacked(packed)), k, hashes)
+                row = xxhash.xxh64_intdigest(packed) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), row)), pa.array(np.full(len(s), len(s)))], ["item", "doc", "row", "n"])
+
+    own = texts.mapInArrow(items, "item long, doc long, row long, n long")
+    own = own.groupBy("item").agg(F.count("*").alias("rows"), F.min(F.struct("doc", "row", "n")).alias("x"))
+    alone = own.where("rows = 1").groupBy("x").agg(F.count("*").alias("alone")).where(F.expr(f"100 * (x.n - alone) < {percent} * x.n")).select(F.col("x.doc").alias("doc"), F.col("x.row").alias("row"))
+    # a document of several texts goes if all of them do
+    n_texts = texts.groupBy("doc").agg(F.count("*").alias("texts"))
+    gone = alone.groupBy("doc").agg(F.count("*").alias("gone")).join(n_texts, "doc").where("gone = texts").select("doc")
+    return members.join(gone, "doc", "left_anti")
 
 
 def _block_pairs(members: DataFrame, block: int) -> DataFrame:
@@ -114,9 +249,9 @@ def _block_pairs(members: DataFrame, block: int) -> DataFrame:
     side 0 and 1 (a block with itself has only side 0); two blocks of one component are no pair, so a region costs what its
     components have not settled yet.
     """
-    sizes = members.groupBy("key", "component").agg(F.countDistinct("doc").alias("m")).withColumn("alone", F.col("m") >= block)
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("m")).withColumn("alone", F.col("m") >= block)
     rest = sizes.where("not alone").groupBy("key").agg(F.sum("m").alias("rest"))
-    sizes = sizes.join(rest, "key", "left")
+    sizes = _few(sizes.join(rest, "key", "left"), 200_000)
     own = F.xxhash64("component", F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / block)))
     shared = F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / block))
     dealt = stored(members.join(sizes, ["key", "component"]).withColumn("block", F.when(F.col("alone"), own).otherwise(shared)).withColumn("one", F.when(F.col("alone"), F.col("component"))).drop("m", "rest"), "dealt")
@@ -167,26 +302,6 @@ def _columns(table):
     return table, table.column("doc").to_numpy(), low, table.column("n").to_numpy(), table.column("component").to_numpy(), table.column("side").to_numpy()
 
 
-def _likely_pairs(members: DataFrame, least: float, percent: int) -> DataFrame:
-    """(a, b) with a < b: of each region, a spanning forest of its most similar signatures; at most one pair fewer than members.
-
-    Members are taken by rising doc, so that regions of different orders choose the same pairs where they can.
-    """
-
-    def run(table):
-        import pyarrow as pa
-
-        _, doc, low, n, _, side = _columns(table)
-        i, j, near = _similar(low, n, np.arange(len(doc)), side, least, percent)
-        union, out = _Union(len(doc)), []
-        for at in np.argsort(-near, kind="stable").tolist():
-            if union.join(int(i[at]), int(j[at])):
-                out.append((int(doc[i[at]]), int(doc[j[at]])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return members.groupBy("key").applyInArrow(run, "a long, b long").where("a < b").distinct()
-
-
 def _open_members(members: DataFrame, least: float, percent: int) -> DataFrame:
     """(key, doc, component, low, n): the members of regions that have a similar partner in another component; key is the region."""
 
@@ -198,20 +313,25 @@ def _open_members(members: DataFrame, least: float, percent: int) -> DataFrame:
     return members.select("key", "region", "doc", "component", "low", "n", "side").groupBy("key").applyInArrow(run, "region long, doc long, component long, low binary, n long").withColumnRenamed("region", "key")
 
 
-def _closing_links(members: DataFrame, least: float, percent: int) -> DataFrame:
+def _closing_links(members: DataFrame, least: float, percent: int, k: int) -> DataFrame:
     """(a, b): links between components of a region, tested on full sets inside the region; pairs never leave it."""
 
     def run(table):
         import pyarrow as pa
 
         table, doc, low, n, comp, side = _columns(table)
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        texts, sets, hashes = table.column("packed").to_pylist(), {}, WordHashes()
         i, j, near = _similar(low, n, comp, side, least, percent)
         _, place = np.unique(comp, return_inverse=True)
         union, out = _Union(len(doc)), []
         for at in np.argsort(-near, kind="stable").tolist():
             x, y = int(i[at]), int(j[at])
-            if union.find(int(place[x])) != union.find(int(place[y])) and _linked(sets[x], sets[y], percent):
+            if union.find(int(place[x])) == union.find(int(place[y])):
+                continue
+            for z in (x, y):
+                if z not in sets:
+                    sets[z] = shingle_set(lowered_words(_unpacked(texts[z])), k, hashes)
+            if _linked(sets[x], sets[y], percent):
                 union.join(int(place[x]), int(place[y]))
                 out.append((int(doc[x]), int(doc[y])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
@@ -228,40 +348,56 @@ def _low_bytes(batches):
     import pyarrow as pa
 
     for x in batches:
-        yield pa.RecordBatch.from_arrays([x.column(0), pa.array([s[::4] for s in x.column(1).to_pylist()], pa.binary()), x.column(2)], ["doc", "low", "n"])
+        yield pa.RecordBatch.from_arrays([x.column(0), pa.array([s[::2] for s in x.column(1).to_pylist()], pa.binary()), x.column(2)], ["doc", "low", "n"])
 
 
-def _full_sets(named: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc, items): the shingle sets of the documents ``named`` (doc); a row for each different set of a repeated doc."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(named.distinct(), "doc", "left_semi")
+def _unpacked(packed: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.decompress(packed)
 
-    def sets(batches):
-        import hashlib
 
+def _texts(named: DataFrame, docs: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """(doc, packed): the texts of the documents ``named`` (doc), compressed, as they are smaller than their shingle sets.
+
+    Texts are compressed where they are read, before they meet the names. ``repeated``: docs may have a row more than
+    once, of which one stays.
+    """
+
+    def run(batches):
         import pyarrow as pa
+        import zstandard
 
-        hashes = WordHashes()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for x in batches:
-            items = [shingle_set(lowered_words(t), k, hashes).tobytes() for t in x.column(1).to_pylist()]
-            keys = [hashlib.blake2b(s, digest_size=16).digest() for s in items]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(keys, pa.binary()), pa.array(items, pa.binary())], ["doc", "set_key", "items"])
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in x.column(1).to_pylist()], pa.binary())], ["doc", "packed"])
 
-    return texts.mapInArrow(sets, "doc long, set_key binary, items binary").dropDuplicates(["doc", "set_key"]).where("length(items) > 0").drop("set_key")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("length(text) > 0").mapInArrow(run, "doc long, packed binary")
+    texts = texts.hint("merge").join(named.distinct(), "doc", "left_semi")  # the names grow with the data
+    return texts.dropDuplicates(["doc", "packed"]) if repeated else texts
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    full = stored(_full_sets(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")), docs, id_col, text_col, k), "shingle-sets")
-    both = pairs.join(full.select(F.col("doc").alias("a"), F.col("items").alias("a_items")), "a").join(full.select(F.col("doc").alias("b"), F.col("items").alias("b_items")), "b")
+def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, hubs: bool = False) -> DataFrame:
+    """The pairs whose full shingle sets have 100 * intersection >= percent * union; with ``hubs``, many pairs share an a."""
+    a_texts = texts.select(F.col("doc").alias("a"), F.col("packed").alias("a_text"))
+    if hubs:
+        a_texts = _few(a_texts.join(pairs.select("a").distinct(), "a", "left_semi"), 2_000)
+    both = pairs.join(texts.select(F.col("doc").alias("b"), F.col("packed").alias("b_text")), "b").join(a_texts, "a")
 
     def test(batches):
         import pyarrow as pa
 
+        hashes = WordHashes()
+        full = lambda packed: shingle_set(lowered_words(_unpacked(packed)), k, hashes)
         for x in batches:
-            keep = [_linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(x.column("a_items").to_pylist(), x.column("b_items").to_pylist())]
+            keep, last, p = [], None, None
+            for a, b in zip(x.column("a_text").to_pylist(), x.column("b_text").to_pylist()):
+                if a != last:  # rows of one a come together
+                    last, p = a, full(a)
+                keep.append(_linked(p, full(b), percent))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "a_items", "b_items").mapInArrow(test, "a long, b long").distinct()
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(test, "a long, b long").distinct()
 
 
 def _slack(percent: int) -> float:
@@ -282,42 +418,61 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``: groups linked by word-shingle Jaccard >= percent / 100.
 
     Sets are of distinct k-word shingles (lower-cased A-Z; shorter texts: the whole sequence), as 64-bit hashes; equal
-    sets are one node before anything else, so copies cost nothing. Candidates come from the forest: in each region
-    first a spanning forest of the most similar signatures; once those are confirmed on full sets and components are
-    known, members of regions of the shallow depth that still hold more than one component are compared inside the
-    region on their full sets, in large regions by pairs of blocks, so that no two components go untested. Both steps
-    look at pairs whose signatures agree in a share of hashes at most _slack() below the threshold, five deviations of
+    sets are one node before anything else, so copies cost nothing. Candidates come from the forest: first each
+    document's nearest smaller neighbour in the sorted orders, by common prefixes, and for members of large regions (more
+    than ``most``) the one nearest to what most of the region have; once those are confirmed on full sets
+    and components are known, members of regions (of SHALLOW common hashes) that still hold more than one component are
+    compared inside the region on their full sets, in large regions by pairs of blocks of about most / 2 members, so
+    that no two components of a region go untested, however large it is. Of a large region those members are
+    left out before of whose shingles too few are in any other, which is exact. The second step
+    looks at pairs whose signatures agree in a share of hashes at most _slack() below the threshold, five deviations of
     that estimate or more, and whose sizes allow the similarity.
     component_id is the smallest doc_id reachable, kept is doc_id = component_id. Empty and null texts and rows with a
     null id link nothing (null ids: null component, kept); rows with equal ids and texts get equal results; a
-    repeated id with different texts links what either text links.
+    repeated id with different texts links what either text links. An empty table gives an empty result; columns other
+    than the two named are not read, so clashing names do no harm; a text may be long, as it is one set.
     """
     signed = stored(_signed(docs, id_col, text_col, k), "signatures")
-    rep = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "distinct-sets")
+    rep = stored(signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "distinct-sets")
+    repeated = not signed.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     least = max(0.0, percent / 100 - _slack(percent))
-    regions, small, large = _forest(rep.select("doc", "sig"), most)
+    forest = _forest(rep.select("doc", "sig"), most)
     low = rep.select("doc", "sig", "n").mapInArrow(_low_bytes, "doc long, low binary, n long")  # a byte of each hash is enough to compare
-    pairs = stored(_likely_pairs(regions.withColumn("component", F.col("doc")).withColumn("side", F.lit(0)).join(low, "doc"), least, percent), "near-pairs")
-    links = stored(_confirmed(pairs, docs, id_col, text_col, k, percent).unionByName(_repeated_ids(signed, rep)), "links")
+    regions = {large: forest.where(f"kind = 1 and n = {large}").select(F.col("x").alias("key"), F.col("y").alias("doc")).distinct() for large in (0, 1)}
+    pairs = stored(_nearest_pairs(forest), "near-pairs")
+    to_hubs = stored(_hub_pairs(regions[1], low), "hub-pairs")
+    # of all that have a neighbour, as any of them may be asked for
+    near = forest.select(F.when(F.col("kind") == 0, F.col("x")).otherwise(F.col("y")).alias("doc")).union(forest.where("kind = 0").select("y"))
+    texts = stored(_texts(near, docs, id_col, text_col, repeated), "near-texts")
+    links = _confirmed(pairs, texts, k, percent).unionByName(_confirmed(to_hubs, texts, k, percent, hubs=True))
+    links = stored(links.unionByName(_repeated_ids(signed, rep)) if repeated else links, "links")
     groups = stored(connected_components(links, "a", "b"), "groups")
 
     # regions in which documents are not in one component yet: small ones as they are, large ones by pairs of blocks
-    def unsettled(members):
-        named = members.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        return named.join(open_, "key", "left_semi").join(low, "doc")
+    def open_only(members):
+        open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        return members.join(open_, "key", "left_semi")
+
+    def unsettled(large):
+        named = regions[large].join(groups.withColumnRenamed("node", "doc"), "doc", "left")
+        return open_only(named.withColumn("component", F.coalesce("component", "doc")))
 
     whole = lambda members: members.withColumn("region", F.col("key")).withColumn("side", F.lit(0))
-    left = stored(_open_members(whole(unsettled(small)), least, percent), "open-members")
-    left_large = stored(_open_members(_block_pairs(unsettled(large), most // 2), least, percent).distinct(), "open-members")
-    full = stored(_full_sets(left.select("doc").union(left_large.select("doc")), docs, id_col, text_col, k), "open-sets")
+    left = stored(_open_members(whole(unsettled(0).join(low, "doc")), least, percent), "open-members")
+    large = stored(unsettled(1), "open-large")
+    large = stored(open_only(_with_company(large, texts.join(large.select("doc").distinct(), "doc", "left_semi"), k, percent)).join(low, "doc"), "open-large")
+    left_large = stored(_open_members(_block_pairs(large, most // 2), least, percent).distinct(), "open-members")
     both = whole(left).unionByName(_block_pairs(left_large, most // 2))
-    more = stored(_closing_links(both.join(full, "doc"), least, percent), "more-links")
-    if more.count():
+    more = stored(_closing_links(both.join(texts, "doc"), least, percent, k), "more-links")
+    if not more.isEmpty():
         groups = stored(connected_components(links.unionByName(more), "a", "b"), "groups")
-    sets = rep.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component"))
+    named = groups.withColumnRenamed("node", "doc")
+    sets = rep.join(named, "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component"), "copies")
     rows = signed.select("doc_id", "n_shingles", "set_key")
-    out = rows.where("set_key is not null").join(sets, "set_key", "left").drop("set_key")
+    some = rows.where("set_key is not null")
+    # sets with many copies are few, at most a row for COPIES rows of docs, and meet their rows by broadcast
+    hot = F.broadcast(sets.where(F.col("copies") >= COPIES).drop("copies"))
+    out = some.join(hot, "set_key").unionByName(some.join(hot, "set_key", "left_anti").join(sets.where(F.col("copies") < COPIES).drop("copies"), "set_key", "left")).drop("set_key")
     # an empty text goes with the other texts of its id, if any
     out = out.unionByName(rows.where("set_key is null").drop("set_key").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -166,3 +166,24 @@ def test_pipeline_stages(spark):
     assert cut.columns == docs.columns and all(len(r.text) <= len(rows[r.doc_id]) and r.n_chars == len(r.text) for r in cut.collect())
     out = P.run(spark, SF).collect()
     assert all(r.round_trip for r in out) and {r.doc_id for r in out} <= {r.doc_id for r in near.collect()}
+
+
+def test_star_of_a_template_is_one_group(spark):
+    """Variants of a template link to it but not to each other; the template has the largest id, so no variant's smaller neighbour is it."""
+    rng = random.Random(11)
+    base, rows = [f"w{k}" for k in range(400)], []
+    for v in range(500):
+        w = list(base)
+        for at in rng.sample(range(3, 400, 9), 7):
+            w[at] = f"v{v}x{at}"
+        rows.append((v, " ".join(w)))
+    rows.append((9999, " ".join(base)))
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=85, most=32).collect()
+    assert {r.component_id for r in got} == {0}
+
+
+def test_a_very_long_text_is_one_set(spark):
+    long = " ".join(f"t{k}" for k in range(120_000))
+    rows = [(3, long), (4, long + " more"), (5, "t1 t2 t3")]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), k=5, percent=80).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 119_996, 3), (4, 119_997, 3), (5, 1, 5)]
