@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+HOT_ROWS = 200_000  # of a broadcast table of large groups
+
 
 def contiguous_shards(df: DataFrame, size: Column, group: Column, row_key: Column, n_shards: int = 24, part_rows: int = 50_000) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
@@ -19,9 +21,13 @@ def contiguous_shards(df: DataFrame, size: Column, group: Column, row_key: Colum
 
     A group of more than ``part_rows`` rows is dealt on by the digits of md5(row_key), so no part holds much more than
     that. Null sizes count 0; a null group or key is the empty string; repeated rows take slots in any order among
-    themselves; an empty table gives an empty result. Names starting with ``_s_`` are reserved.
+    themselves; an empty table gives an empty result; texts are only hashed, however long they are. Columns of df named
+    shard or slot are replaced; names starting with ``_s_`` are refused.
     """
-    digits = max(1, math.ceil(math.log(max(1, df.count()) / part_rows, 16)))
+    if any(c.startswith("_s_") for c in df.columns):
+        raise ValueError("names starting with _s_ are taken")
+    n = df.count()
+    digits = max(1, math.ceil(math.log(max(1, n) / part_rows, 16)))
     rows = df.withColumns({
         "_s_size": F.coalesce(size.cast("long"), F.lit(0)),
         "_s_group": F.md5(F.coalesce(group.cast("string"), F.lit(""))),
@@ -29,6 +35,7 @@ def contiguous_shards(df: DataFrame, size: Column, group: Column, row_key: Colum
     })
     hot = rows.groupBy("_s_group").count().where(F.col("count") > part_rows).select(
         "_s_group", F.ceil(F.log(16.0, F.col("count") / part_rows)).cast("int").alias("_s_deal"))
+    hot = F.broadcast(hot) if n // part_rows <= HOT_ROWS else hot  # so many rows at most
     part = F.substring("_s_group", 1, digits)
     rows = rows.join(hot, "_s_group", "left").withColumn(
         "_s_part", F.when(F.col("_s_deal").isNull(), part).otherwise(F.concat(part, F.lit("|"), "_s_group", F.expr("left(_s_key, _s_deal)"))))
