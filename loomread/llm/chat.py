@@ -46,40 +46,39 @@ def parse(window: str) -> list[tuple[str, str, int, int]]:
 
 
 class _Windows:
-    """Turn-aligned windows of one conversation, given its turns in order."""
+    """Turn-aligned windows of one conversation, given its turns in order; spans are chosen by prefix sums of turn tokens."""
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
         self.system: tuple | None = None
+        self.sums = [0]               # tokens of all turns before each one
+        self.start = 0                # first own turn of the open window
         self.turns: list[tuple] = []  # of the open window: repeated ones first
-        self.repeated = self.tokens = self.seen = self.number = 0
+        self.repeated = self.carried = self.number = 0  # turns and tokens that the open window repeats
 
     def add(self, role: str, text: str):
-        cost = len(TOKEN.findall(text)) + 4
-        done = None
-        if len(self.turns) > self.repeated and self.tokens + cost > self.budget:
-            done = self.close()
-            # prefix sums from the end of the closed window: the system turn, then as many last turns as fit in half of the budget
-            back, spent = [], self.system[2] if self.system else 0
-            for t in reversed(done[1][-self.history:] if self.history else []):
-                if t is self.system or spent + t[2] + cost > self.budget or 2 * spent + 2 * t[2] > self.budget:
-                    break
-                back.insert(0, t)
-                spent += t[2]
-            self.turns = ([self.system] if self.system else []) + back
-            self.repeated, self.tokens = len(self.turns), spent
-            done = done[0]
-        turn = (role, text, cost)
-        if self.seen == 0 and role == "system":
-            self.system = turn
-        self.turns.append(turn)
-        self.tokens += cost
-        self.seen += 1
+        """Takes the next turn; the window that it closes, if any."""
+        cost, k, done = len(TOKEN.findall(text)) + 4, len(self.sums) - 1, None
+        self.sums.append(self.sums[-1] + cost)
+        if k > self.start and self.carried + self.sums[k + 1] - self.sums[self.start] > self.budget:
+            done, turns = self.close()
+            # the system turn, then as many last turns as fit in half of the budget, beside the new turn
+            head = self.sums[1] if self.system else 0
+            most = min(self.budget // 2, self.budget - cost) - head
+            own = k - self.start + max(0, self.repeated - bool(self.system))  # turns of the closed window that may be repeated
+            back = 0
+            while back < min(self.history, own) and k - back - 1 >= bool(self.system) and self.sums[k] - self.sums[k - back - 1] <= most:
+                back += 1
+            self.turns = ([self.system] if self.system else []) + turns[len(turns) - back:]
+            self.repeated, self.carried, self.start = len(self.turns), head + self.sums[k] - self.sums[k - back], k
+        if k == 0 and role == "system":
+            self.system = (role, text)
+        self.turns.append((role, text))
         return done
 
     def close(self):
         parts, spans, at = [], [], 0
-        for i, (role, text, _) in enumerate(self.turns):
+        for i, (role, text) in enumerate(self.turns):
             piece, a, b = render(role, text)
             if role == "assistant" and i >= self.repeated:
                 spans.append((at + a, at + b))
@@ -93,11 +92,13 @@ class _Windows:
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 512, history: int = 2) -> DataFrame:
     """(conv_id, window, formatted, n_repeated, mask_starts, mask_ends): all turns in windows of about ``budget`` tokens.
 
-    A window holds whole turns; a turn above the budget stands alone. After the first, a window repeats the system turn
+    A window holds whole turns: from its first one on as many as prefix sums of turn tokens allow; only a turn that is
+    too large beside the system turn makes it larger than the budget. After the first, a window repeats the system turn
     (if the conversation starts with one) and up to ``history`` last turns; masks cover the escaped text of assistant
     turns that are not repeated, so each is a target once. Rows are dealt by conversation and streamed in the order of
     turn, role, text: a task holds one window at a time, however long a conversation is. Null roles and texts are
-    empty; null turns come first; null ids are one conversation; repeated rows are turns of their own.
+    empty; null turns come first; null ids are one conversation; repeated rows are turns of their own; an empty table
+    gives an empty result; other columns are not read, so clashing names do no harm.
     """
     ordered = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
                            F.coalesce(F.col(text), F.lit("")).alias("text")).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
