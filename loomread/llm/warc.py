@@ -17,7 +17,7 @@ BREAK = b"\r\n\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
-def record_id(page_id, digest: str, copy: int = 1) -> str:
+def record_id(page_id, digest: str, copy: int | str = 1) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{copy}')}>"
 
 
@@ -78,9 +78,10 @@ def segments(fields: dict, block: bytes, most: int) -> list[bytes]:
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", segment_bytes: int = 16_384, chunk_bytes: int = 4_096, min_revisit: int = 0) -> None:
     """A WARC record per row of ``pages`` into gzip files under ``path``.
 
-    Of rows with equal payloads (UTF-8 of html; null: empty) of at least ``min_revisit`` bytes, those with the largest
-    page_id are responses and the others revisits, which carry no payload; a null id is never the largest unless all
-    are null. Equal rows give records of their own. Blocks longer than segment_bytes go on in continuation records.
+    Of rows with equal payloads (UTF-8 of html; null: empty) of at least ``min_revisit`` bytes, the one with the largest
+    page_id (of equal ids the least url) is the response and the others revisit it without a payload; a null id is never the
+    largest unless all are null. Equal rows give records of their own; other columns are not read; an empty table gives
+    no records. Blocks longer than segment_bytes go on in continuation records.
     Only (digest, page_id) is aggregated over equal payloads, so payloads of revisits are never shuffled; Spark's text
     writer ends records with the blank lines WARC asks for and commits files task by task.
     """
@@ -89,24 +90,30 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     small = F.octet_length("html") < min_revisit
     winners = rows.where(~small).groupBy("hex").agg(F.max("pid").alias("pid"))
     kept = rows.where(~small).join(winners, ["hex", "pid"], "left_semi")
-    if min_revisit:
-        kept = kept.unionByName(rows.where(small))
     # dealt as the join has dealt them, so payloads move once
-    kept = kept.withColumn("copy", F.row_number().over(Window.partitionBy("hex", "pid").orderBy("url"))).select("page_id", "url", "html", "hex", "copy", F.lit(None).cast("long").alias("best"), F.lit(False).alias("again"))
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("hex", "pid").orderBy("url"))).withColumn("again", F.col("place") > 1)
+    if min_revisit:
+        kept = kept.unionByName(rows.where(small).withColumns({"place": F.lit(1), "again": F.lit(False)}))
+    kept = kept.select("page_id", "url", F.when(F.col("again"), "").otherwise(F.col("html")).alias("html"), "hex", "again", F.when(F.col("again"), F.col("pid")).alias("best"))
     again = rows.where(~small).select("page_id", "pid", "url", "hex").join(winners.withColumnRenamed("pid", "best"), "hex").where("pid <> best").select(
-        "page_id", "url", F.lit("").alias("html"), "hex", F.lit(1).alias("copy"), "best", F.lit(True).alias("again"))
+        "page_id", "url", F.lit("").alias("html"), "hex", F.lit(True).alias("again"), "best")
 
     def run(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        task, at = TaskContext.get().partitionId(), 0
         for b in batches:
             out = []
             for r in b.to_pylist():
                 digest = base64.b32encode(bytes.fromhex(r["hex"])).decode()
-                fields = {"WARC-Type": "revisit" if r["again"] else "response", "WARC-Record-ID": record_id(r["page_id"], digest, 0 if r["again"] else r["copy"]), "WARC-Date": "2024-01-01T00:00:00Z",
+                at += 1
+                # a response is found by its page and payload; no two others have a name in common
+                own = record_id(r["page_id"], digest, f"{task}.{at}") if r["again"] or len(r["html"].encode()) < min_revisit else record_id(r["page_id"], digest)
+                fields = {"WARC-Type": "revisit" if r["again"] else "response", "WARC-Record-ID": own, "WARC-Date": "2024-01-01T00:00:00Z",
                           "WARC-Target-URI": r["url"], "Page-ID": r["page_id"], "WARC-Payload-Digest": f"sha1:{digest}", "Content-Type": "application/http; msgtype=response"}
                 if r["again"]:
-                    fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(r["best"], digest)}
+                    fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": record_id(None if r["best"] == NO_ID else r["best"], digest)}
                     out.append(record(fields, HTTP_HEAD))
                 else:
                     out += segments(fields, HTTP_HEAD + chunked(r["html"].encode(), chunk_bytes), segment_bytes)
@@ -215,14 +222,20 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
 
 
 def op2_warc_segments(spark, sf_dir):
-    """Every page written as a record and read back; a revisit's payload is that of the record it refers to."""
+    """Every page written as a record and read back; a revisit's payload is that of the record it refers to.
+
+    A record that is not valid, or a revisit of a record that is not there, is an error.
+    """
     path = scratch(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    got = stored(read_warc(spark, path, with_payload=False), "warc-read")
+    got = read_warc(spark, path, with_payload=False)
+    known = F.when(F.col("valid"), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("not a valid record: "), F.coalesce("record_id", F.lit("")))))
+    got = stored(got.withColumn("record_type", known), "warc-read")
     whole = got.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    origin = got.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
-    again = got.where("record_type = 'revisit'").select("page_id", "refers_to_record").join(origin, "refers_to_record")
-    return whole.unionByName(again.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
+    origin = got.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", F.lit(True).alias("there"))
+    again = got.where("record_type = 'revisit'").select("page_id", "refers_to_record").join(origin, "refers_to_record", "left")
+    found = F.when(F.col("there"), F.lit("revisit")).otherwise(F.raise_error(F.concat(F.lit("no such record: "), F.coalesce("refers_to_record", F.lit("")))))
+    return whole.unionByName(again.select("page_id", "payload_bytes", "payload_digest", found.alias("record_type"), "refers_to"))
 
 
 SQL_WARC = """
