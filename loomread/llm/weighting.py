@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomread.llm.blocks import blocked, unpack, with_answers
+from loomread.llm.blocks import blocked, total_bytes, unpack, with_answers
 from loomread.llm.words import lowered_words
 from loomread.storage import stored
 
 END = b""  # the end token; no word is empty
-DEALS = 64
+DEAL_BYTES, LEAST_DEALS, MOST_DEALS = 8 << 20, 64, 8192  # text for a deal of strings and words, and the number of deals
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -164,20 +164,42 @@ class Table:
         return slot
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of the array, all first bytes first, which packs better."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+def _packed(a: np.ndarray) -> bytes:
+    """The array with all first bytes first, compressed."""
+    import zstandard
 
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
 
-def _unplanes(b: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
+def _unpacked(b: bytes, kind) -> np.ndarray:
+    import zstandard
 
-def _deal(keys: np.ndarray, depth: int) -> np.ndarray:
-    """Which of DEALS tasks has the key: by its two latest context bytes, so that a task has whole subtrees below them."""
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed_steps(a: np.ndarray) -> bytes:
+    """A rising array, as its steps."""
+    return _packed(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def _unpacked_steps(b: bytes, kind) -> np.ndarray:
+    return np.cumsum(_unpacked(b, kind), dtype=kind)
+
+
+def _deal(keys: np.ndarray, depth: int, deals: int) -> np.ndarray:
+    """Which deal has the key: by its two latest context bytes, so that a deal has whole subtrees below them."""
     pair = (keys >> np.uint64(8 * (depth - 1))) & np.uint64(0xFFFF)
-    return ((pair * np.uint64(40503) & np.uint64(0xFFFF)) * np.uint64(DEALS) >> np.uint64(16)).astype(np.uint8)
+    return ((pair * np.uint64(40503) & np.uint64(0xFFFF)) * np.uint64(deals) >> np.uint64(16)).astype(np.int32)
+
+
+def _dealt_words(words, deals: int) -> tuple[list[bytes], np.ndarray]:
+    """The words by deal and in order, and where each deal begins."""
+    import zlib
+
+    words = sorted(words)
+    deal = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % deals
+    by = np.argsort(deal, kind="stable")
+    return [words[i] for i in by.tolist()], np.searchsorted(deal[by], np.arange(deals + 1))
 
 
 def _block(payload, text_col, held_col):
@@ -186,7 +208,7 @@ def _block(payload, text_col, held_col):
     return table, words, [stream(w) for w in words], [bool(h) for h in table.column(held_col).to_pylist()]
 
 
-def _distinct(streams, held, depth):
+def _distinct(streams, held, depth, deals):
     """Distinct grams of a block in the order of _deal() and key, with their counts in streams that are not held out."""
     key = grams(streams, depth)
     key <<= np.uint64(1)
@@ -196,11 +218,20 @@ def _distinct(streams, held, depth):
     key >>= np.uint64(1)
     last = np.flatnonzero(np.append(key[1:] != key[:-1], len(key) > 0))
     u, n = key[last], np.diff(train[last], prepend=0).astype(np.uint32)
-    deal = _deal(u, depth)
+    deal = _deal(u, depth, deals)
     by = np.argsort(deal, kind="stable")
     return u[by], n[by], deal[by]
 
 
+def _settled(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, sorted, and the sums of their counts."""
+    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_col: str = "held_out", depth: int = 5) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each text.
 
@@ -211,128 +242,124 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unigram model of words and text ends.
 
     Counts cover the whole corpus and are never gathered in one place: blocks send their distinct byte strings and
-    words; strings are dealt by their two latest context bytes, merged as they stream in (a task holds distinct strings
-    of one deal), and only the levels of up to one context byte, at most 65,536 nodes, pass through the driver.
+    words, compressed, once; strings are dealt by their two latest context bytes, words by a hash. There are as many
+    deals as the data need (up to MOST_DEALS), so a task holds what blocks sent of one deal. It merges the strings to the
+    counts of the deal, and keeps where each block's are among them; so a block learns its code
+    lengths and counts without sending strings again. Only the levels of up to one context byte, at most 65,536
+    nodes, pass through the driver.
     Null and empty texts are one end token; null held_out counts as training; a null doc_id stays null; repeated rows
-    count each time; an empty table gives an empty result. Other columns are not read.
+    count each time; a long text is a block of its own; an empty table gives an empty result. Other columns are not
+    read, so clashing names do no harm.
     """
     spark = docs.sparkSession
     blocks = blocked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(held_col).cast("boolean").alias("held")))
+    deals = min(MOST_DEALS, max(LEAST_DEALS, -(-total_bytes(blocks) // DEAL_BYTES)))
 
-    def ask_words(batches):
+    def ask(batches):
         from collections import Counter
 
         import pyarrow as pa
+        import zstandard
 
         for b in batches:
             for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, words, _, held = _block(payload, "text", "held")
-                n, other = Counter(), set()
+                _, words, streams, held = _block(payload, "text", "held")
+                count, other = Counter(), {END}
                 for w, h in zip(words, held):
                     if h:
                         other.update(w)
                     else:
-                        n.update(w)
-                        n[END] += 1
-                w = [END, *(n.keys() - {END}), *(other - n.keys())]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(w), pa.int64()), pa.array(w, pa.binary()), pa.array([n[x] for x in w], pa.int64())], ["block", "word", "n"])
-
-    def ask_grams(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                _, _, streams, held = _block(payload, "text", "held")
-                keys, n, deal = _distinct(streams, held, depth)
-                cut = np.searchsorted(deal, np.arange(DEALS + 1))
-                rows = [(r, block, _planes(keys[a:c]), _planes(n[a:c])) for r, (a, c) in enumerate(zip(cut, cut[1:])) if c > a]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.binary(), pa.binary()])], ["r", "block", "keys", "counts"])
+                        count.update(w)
+                        count[END] += 1
+                mine, at = _dealt_words(other.union(count), deals)
+                n_words = np.fromiter(map(count.__getitem__, mine), np.int64, len(mine))
+                keys, n, deal = _distinct(streams, held, depth, deals)
+                cut = np.searchsorted(deal, np.arange(deals + 1))
+                rows = [(r, block, _packed_steps(keys[a:c]), _packed(n[a:c]), zstandard.compress(b"\n".join(mine[v:w]), 3), _packed(n_words[v:w]))
+                        for r, (a, c, v, w) in enumerate(zip(cut, cut[1:], at, at[1:])) if c > a or w > v]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64()] + [pa.binary()] * 4)], ["r", "block", "keys", "counts", "words", "n_words"])
 
     def merge(batches):
-        import pyarrow as pa
+        from collections import Counter
 
-        def settle(parts):
-            keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            by = np.argsort(keys, kind="stable")
-            keys, counts = keys[by], counts[by]
-            head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            return keys[head], np.add.reduceat(counts, head)
+        import pyarrow as pa
+        import zstandard
 
-        def row(r, parts):
-            keys, counts = settle(parts)
-            return pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_planes(keys)], pa.binary()), pa.array([_planes(counts)], pa.binary())], ["r", "keys", "counts"])
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
 
-        now, parts, fresh = None, [], 0
-        for b in batches:
-            for r, k, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if r != now:
-                    if parts:
-                        yield row(now, parts)
-                    now, parts, fresh = r, [], 0
-                parts.append((_unplanes(k, np.uint64), _unplanes(c, np.uint32).astype(np.int64)))
+        def row(r, sent):
+            parts, fresh = [], 0
+            for _, k, c, _, _ in sent:
+                parts.append((_unpacked_steps(k, np.uint64), _unpacked(c, np.uint32).astype(np.int64)))
                 fresh += len(parts[-1][0])
                 if fresh > max(1 << 20, len(parts[0][0])):
-                    parts, fresh = [settle(parts)], 0
-        if parts:
-            yield row(now, parts)
+                    parts, fresh = [_settled(parts)], 0
+            keys, counts = _settled(parts)
+            places = [_packed_steps(np.searchsorted(keys, _unpacked_steps(k, np.uint64)).astype(np.uint32)) for _, k, _, _, _ in sent]
+            cut = lambda w: zstandard.decompress(w).split(b"\n")
+            total = Counter()
+            for _, _, _, w, n in sent:
+                for x, m in zip(cut(w), _unpacked(n, np.int64).tolist()):
+                    total[x] += m
+            told = [_packed(np.fromiter(map(total.__getitem__, cut(w)[:len(m)]), np.int64, len(m))) for _, _, _, w, n in sent for m in [_unpacked(n, np.int64)]]
+            values = [r, _packed_steps(keys), _packed(counts), sum(total.values()), sum(1 for v in total.values() if v), [x[0] for x in sent], places, told]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["r", "keys", "counts", "train", "kinds", "blocks", "places", "totals"])
+
+        now, sent = None, []
+        for b in batches:
+            for r, *x in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if r != now and sent:
+                    yield row(now, sent)
+                    sent = []
+                now = r
+                sent.append(x)
+        if sent:
+            yield row(now, sent)
 
     def summit(batches):
         import pyarrow as pa
 
         for b in batches:
-            for k, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
-                for bit, level in enumerate(code_lengths(_unplanes(k, np.uint64), _unplanes(c, np.int64).astype(float), depth, None)):
+                for bit, level in enumerate(code_lengths(_unpacked_steps(k, np.uint64), _unpacked(c, np.int64).astype(float), depth, None)):
                     up = level.ids >> np.uint64(16) << np.uint64(8) | level.ids & np.uint64(255)
                     rows += zip([bit] * len(up), up.astype(np.int64).tolist(), level.n0.tolist(), level.n1.tolist(), level.weighted.tolist())
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])], ["bit", "id", "n0", "n1", "below"])
 
-    asked = stored(blocks.select("block", "payload").mapInArrow(ask_grams, "r int, block long, keys binary, counts binary"), "context-counts")
-    model = stored(asked.repartition(DEALS, "r").sortWithinPartitions("r", "block").mapInArrow(merge, "r int, keys binary, counts binary"), "context-model")
-    top = model.mapInArrow(summit, "bit int, id long, n0 double, n1 double, below double").groupBy("bit", "id").agg(F.sum("n0"), F.sum("n1"), F.sum("below"))
+    asked = blocks.select("block", "payload").mapInArrow(ask, "r int, block long, keys binary, counts binary, words binary, n_words binary")
+    model = stored(asked.repartition(deals, "r").sortWithinPartitions("r", "block").mapInArrow(
+        merge, "r int, keys binary, counts binary, train long, kinds long, blocks array<long>, places array<binary>, totals array<binary>"), "context-model")
+    top = model.select("keys", "counts").mapInArrow(summit, "bit int, id long, n0 double, n1 double, below double").groupBy("bit", "id").agg(F.sum("n0"), F.sum("n1"), F.sum("below"))
     top = spark.sparkContext.broadcast(top_levels([tuple(r) for r in top.collect()]))  # 8 bits x 256 contexts x up to 128 nodes
+    train, kinds = model.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
 
     def answer(batches):
         import pyarrow as pa
 
-        keys = bits = None
         for b in batches:
-            rows = []
-            for r, block, k, c in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if block < 0:
-                    keys = _unplanes(k, np.uint64)
-                    bits = code_lengths(keys, _unplanes(c, np.int64).astype(float), depth, top.value).astype(np.float32)
-                else:
-                    rows.append((block, r, bits[np.searchsorted(keys, _unplanes(k, np.uint64))].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.binary()])], ["block", "r", "bits"])
-
-    both = model.select("r", F.lit(-1).cast("long").alias("block"), "keys", "counts").unionByName(asked.select("r", "block", "keys", F.lit(None).cast("binary").alias("counts")))
-    lengths = both.repartition(DEALS, "r").sortWithinPartitions("r", "block").mapInArrow(answer, "block long, r int, bits binary")
-
-    words = stored(blocks.select("block", "payload").mapInArrow(ask_words, "block long, word binary, n long"), "block-words")
-    totals = stored(words.groupBy("word").agg(F.sum("n").alias("total")), "word-counts")
-    train, kinds = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1))).first()
-    told = words.select("block", "word").join(totals, "word").select("block", F.lit(None).cast("int").alias("r"), F.lit(None).cast("binary").alias("bits"), "word", "total")
-    told = told.unionByName(lengths.select("block", "r", "bits", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("total")))
+            for r, k, c, to, places, totals in zip(*(b.column(i).to_pylist() for i in range(6))):
+                bits = code_lengths(_unpacked_steps(k, np.uint64), _unpacked(c, np.int64).astype(float), depth, top.value).astype(np.float32)
+                mine = [_packed(bits[_unpacked_steps(p, np.uint32)]) for p in places]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array([r] * len(to), pa.int32()), pa.array(mine, pa.binary()), pa.array(totals, pa.binary())], ["block", "r", "bits", "totals"])
+
+    told = model.select("r", "keys", "counts", "blocks", "places", "totals").mapInArrow(answer, "block long, r int, bits binary, totals binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
     def score(key, texts, told):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        grams_ = told.filter(pc.is_valid(told.column("r"))).sort_by("r")
-        vocabulary = told.filter(pc.is_null(told.column("r")))
-        place = {w: i for i, w in enumerate(vocabulary.column("word").to_pylist())}
-        total = vocabulary.column("total").to_numpy()
+        told = told.sort_by("r")
+        total = np.concatenate([_unpacked(x, np.int64) for x in told.column("totals").to_pylist()] or [np.zeros(0, np.int64)])
+        bits = np.concatenate([_unpacked(x, np.float32) for x in told.column("bits").to_pylist()] or [np.zeros(0, np.float32)]).astype(float)
         term, known = np.log10((total + 0.5) / (train + 0.5 * (kinds + 1))), total > 0
-        bits = np.frombuffer(b"".join(grams_.column("bits").to_pylist()), np.float32).astype(float)
         out = []
         for payload in texts.column("payload").to_pylist():
             table, words, streams, held = _block(payload, "text", "held")
-            keys, _, _ = _distinct(streams, held, depth)
+            mine, _ = _dealt_words({END}.union(*words), deals)
+            place = {w: i for i, w in enumerate(mine)}
+            keys, _, _ = _distinct(streams, held, depth, deals)
             find = Table(keys)
             laid, part = find.laid(bits), []
             for i in range(0, len(streams), 256):  # some texts at a time
