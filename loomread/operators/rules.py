@@ -20,9 +20,9 @@ def evaluate(metrics: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def suppress(alerts: DataFrame) -> DataFrame:
-    """Raised alerts of which no ancestor is raised on the same stage; parents may form a cycle."""
+    """Raised alerts of which no ancestor is raised on the same stage; in a cycle of parents an alert is not its own ancestor."""
     up = alerts.where("raised").select("stage", F.col("name").alias("anc"))
     parents = alerts.select("name", F.col("parent").alias("anc")).where("anc is not null").distinct()
-    chain = reachable(parents, "name", "anc")
+    chain = reachable(parents, "name", "anc").where("name <> anc")
     under = chain.join(up, "anc").select("stage", "name").distinct()
     return alerts.where("raised").join(under, ["stage", "name"], "left_anti")
