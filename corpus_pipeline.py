@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Each stage reads the columns of documents only, so further ones, whatever their names, do no harm. Null texts go in the
+first stage; rows with a null doc_id stay and are told apart by their texts. Repeated rows, very long texts and empty
+tables are taken by every stage.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that no quality rule rejects; a null text counts as empty and goes."""
-    return quality_cascade(docs).where("kept").select(COLUMNS)
+    return quality_cascade(docs.select(COLUMNS)).where("kept").select(COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -24,6 +29,7 @@ def near_dedup(spark, docs, sf_dir):
 
     Rows with a null doc_id stay; of rows with equal doc_ids all stay or go together.
     """
+    docs = docs.select(COLUMNS)
     kept = near_groups(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(COLUMNS)
 
@@ -33,19 +39,19 @@ def suffix_dedup(spark, docs, sf_dir):
 
     A document of which nothing but white space is left goes, as it said nothing of its own.
     """
-    out = remove_repeats(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = remove_repeats(docs.select(COLUMNS)).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def decontamination(spark, docs, sf_dir):
     """Documents without a window of ten words, or a whole shorter item, of ``benchmark``."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text"))
-    return decontaminate(docs, bench).select(COLUMNS)
+    return decontaminate(docs.select(COLUMNS), bench).select(COLUMNS)
 
 
 def sentencepiece(spark, docs, sf_dir):
     """Each document's encoding: pieces, scores of its three best segmentations and a digest of the ids."""
-    return encode_texts(docs, ids=False).select("doc_id", "lang", "source", "n_chars", "n_pieces", "best_score", "scores", "ids_sha256", "round_trip")
+    return encode_texts(docs.select(COLUMNS), ids=False).select("doc_id", "lang", "source", "n_chars", "n_pieces", "best_score", "scores", "ids_sha256", "round_trip")
 
 
 STAGES = [
