@@ -24,6 +24,11 @@ def _grams(words: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(n)]))
 
 
+def _placed(hashes: Column, m: int) -> Column:
+    """(m, print, at) of each hash and its place."""
+    return F.transform(hashes, lambda x, i: F.struct(F.lit(m).alias("m"), x.alias("print"), i.alias("at")))
+
+
 def _winnowed(hashes: Column, w: int) -> Column:
     """The distinct minima of windows of w neighbouring hashes; empty where there are fewer hashes."""
     at = F.when(F.size(hashes) >= w, F.sequence(F.lit(0), F.size(hashes) - w)).otherwise(F.array().cast("array<int>"))
@@ -41,10 +46,11 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", te
 
     Windows are runs of ``window`` words of an item; an item of fewer words, but not none, is one window. Winnowing keeps
     the least hash of every window - k + 1 neighbouring k-grams on both sides, so a shared window always gives a shared
-    fingerprint; only texts that share one go on. There, hits are extended: runs of words are compared as strings, and
-    the words that they cover are counted once. Short items are looked up by their own lengths, of which there are
-    fewer than ``window``. Benchmark tables above broadcast_rows rows are joined by shuffle instead of broadcast.
-    Null texts have no words; equal rows have one key; clashing column names do no harm, as only the named ones are read.
+    fingerprint inside it. A fingerprint that a text shares is extended where it lies: of the text's windows around it,
+    those that are windows of an item as strings are hits, and the words that they cover are counted once. The
+    fingerprint of a short item is the hash of all of it, sought by length, of which there are fewer than ``window``. Benchmark tables above broadcast_rows rows are joined by shuffle instead of broadcast.
+    Null texts have no words; equal rows have one key; long texts are one row; an empty docs or bench gives an empty
+    result; clashing column names do no harm, as only the named ones are read.
     """
     item_words = bench.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
@@ -53,40 +59,46 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", te
     grams = windows.select("gram", "n").distinct()
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``window`` numbers
 
+    size_of = {m: k if m == window else m for m in lengths}  # words of a fingerprint, by words of a window
+
+    # columns for words and hashes: inside a lambda they would be computed anew for each element
+    def prints(df, key, m):
+        """(key, m, print) of the rows' words: winnowed k-grams for m = window, all m-grams for shorter m."""
+        df = df.withColumn("h", _grams(F.col("w"), size_of[m]))
+        return df.select(key, F.lit(m).alias("m"), F.explode_outer(_winnowed(F.col("h"), window - k + 1) if m == window else F.array_distinct("h")).alias("print"))
+
     texts = docs.select(F.struct(F.col(doc_id).alias("id"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("text")).alias("doc_key"), F.col(text).alias("t"))
     words = texts.select("doc_key", words_of(F.col("t")).alias("w"))
-    found = []
-    if window in lengths:
-        # a column for the hashes: inside a lambda they would be computed anew for each element
-        winnowed = lambda df: df.withColumn("h", _grams(F.col("w"), k)).withColumn("p", _winnowed(F.col("h"), window - k + 1))
-        prints = winnowed(item_words.where(n >= window)).select(F.explode_outer("p").alias("print")).distinct()
-        marks = winnowed(words).select("doc_key", F.explode_outer("p").alias("print"))
-        found.append(marks.join(_near(prints, broadcast_rows), "print", "left_semi").select("doc_key"))
-    for m in (x for x in lengths if x < window):
-        short = grams.where(F.col("n") == m).select(F.xxhash64(*[F.get(F.split("gram", " "), F.lit(j)) for j in range(m)]).alias("print")).distinct()
-        marks = words.select("doc_key", F.explode_outer(F.array_distinct(_grams(F.col("w"), m))).alias("print"))
-        found.append(marks.join(_near(short, broadcast_rows), "print", "left_semi").select("doc_key"))
-    if not found:
+    if not lengths:
         return words.select("doc_key", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")).limit(0)
-    keys = found[0]
-    for f in found[1:]:
-        keys = keys.unionByName(f)
-
+    known = [prints(item_words.where(n >= m if m == window else n == m), "item", m).select("m", "print").where("print is not null").distinct() for m in lengths]
+    found = [prints(words, "doc_key", m).join(_near(x, broadcast_rows), ["m", "print"], "left_semi").select("doc_key") for m, x in zip(lengths, known)]
+    every, keys = known[0], found[0]
+    for x, f in zip(known[1:], found[1:]):
+        every, keys = every.unionByName(x), keys.unionByName(f)
     keys = stored(keys.distinct(), "leak-candidates")
-    # texts, not words, meet the keys, and are split after that
+
+    # where the fingerprints lie, in those few texts
     some = texts.join(_near(keys, broadcast_rows), "doc_key", "left_semi").select("doc_key", words_of(F.col("t")).alias("w"))
-    runs = some.select("doc_key", F.explode_outer(F.array(*[F.lit(m) for m in lengths])).alias("m"), "w").where(F.size("w") >= F.col("m")).select(
-        "doc_key", "m", F.posexplode_outer(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("m") + 1), lambda i: F.array_join(F.slice("w", i, F.col("m")), " "))).alias("at", "gram"))
-    hits = stored(runs.join(_near(grams, broadcast_rows), "gram", "left_semi"), "leak-hits")
+    places = some.withColumns({f"h{m}": _placed(_grams(F.col("w"), size_of[m]), m) for m in lengths}).select("doc_key", F.explode_outer(F.concat(*[f"h{m}" for m in lengths])).alias("x"))
+    met = places.select("doc_key", "x.m", "x.print", "x.at").join(_near(every, broadcast_rows), ["m", "print"], "left_semi")
+    met = stored(met.groupBy("doc_key").agg(F.collect_list(F.struct("m", "at")).alias("met")), "leak-prints")  # places of one text
+
+    # texts, not words, meet the places, and are split after that
+    some = texts.join(_near(met, broadcast_rows), "doc_key").select("doc_key", "met", words_of(F.col("t")).alias("w"))
+    around = F.when(F.col("x.m") < window, F.array("x.at")).otherwise(F.sequence(F.greatest(F.col("x.at") + k - window, F.lit(0)), F.least(F.col("x.at"), F.size("w") - window)))
+    runs = some.select("doc_key", "w", F.explode("met").alias("x")).select("doc_key", "w", F.col("x.m").alias("m"), F.explode(around).alias("at"))
+    runs = runs.select("doc_key", "m", (F.col("at") + 1).alias("at"), F.array_join(F.slice("w", F.col("at") + 1, F.col("m")), " ").alias("gram"))
+    hits = stored(runs.join(_near(grams, broadcast_rows), "gram", "left_semi").distinct(), "leak-hits")
     covered = hits.select("doc_key", F.explode_outer(F.sequence(F.col("at"), F.col("at") + F.col("m") - 1)).alias("word")).distinct().groupBy("doc_key").agg(F.count("*").alias("n_hit"))
     items = hits.select("doc_key", "gram").distinct().join(_near(windows.select("item", "gram"), broadcast_rows), "gram").groupBy("doc_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     return covered.join(items, "doc_key")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` without the texts that share a window with an item of ``bench`` (see benchmark_hits); all columns stay."""
-    bad = benchmark_hits(docs, bench, doc_id, text, **how).select(F.col("doc_key.id").alias("_d_id"), F.col("doc_key.text").alias("_d_text"))
-    return docs.join(bad, F.col(f"`{doc_id}`").eqNullSafe(F.col("_d_id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("_d_text")), "left_anti")
+    """``docs`` without the texts that share a window with an item of ``bench`` (see benchmark_hits); all columns stay, whatever their names."""
+    bad = benchmark_hits(docs, bench, doc_id, text, **how).select(F.col("doc_key.id").alias("id"), F.col("doc_key.text").alias("sha")).alias("bad")
+    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("bad.id")) & (F.sha2(F.coalesce(docs[text], F.lit("")), 256) == F.col("bad.sha")), "left_anti")
 
 
 def op8_decontamination(spark, sf_dir):
