@@ -86,15 +86,10 @@ def bigrams(words: Column) -> Column:
 BREAK = "\x01"
 
 
-def line_runs(text: Column, grams: Column) -> Column:
-    """Runs of two or more lines (each of which, but for those of a word at most, has half of its bigrams among ``grams`` or more), as texts."""
-    marked = F.transform(F.split(F.replace(text, F.lit(BREAK), F.lit(" ")), "\n"), lambda x: F.when(_near_licence(x, grams), x).otherwise(F.lit(BREAK)))
-    return F.filter(F.split(F.array_join(marked, "\n"), BREAK), lambda x: x.rlike("[A-Za-z0-9][^\\n]*\n[^A-Za-z0-9]*[A-Za-z0-9]"))
-
-
-def _near_licence(line: Column, grams: Column) -> Column:
-    own = bigrams(normalised_words(line))
-    return 2 * F.size(F.array_intersect(own, grams)) >= F.size(own)
+def line_runs(lines: Column, near: Column) -> Column:
+    """Runs of two or more lines with words of the array ``lines`` for which the array ``near`` is true, as texts."""
+    marked = F.zip_with(lines, near, lambda x, ok: F.when(ok, F.replace(x, F.lit(BREAK), F.lit(" "))).otherwise(F.lit(BREAK)))
+    return F.filter(F.split(F.array_join(marked, "\n"), BREAK), lambda x: F.size(F.filter(F.split(x, "\n"), lambda y: y.rlike("[A-Za-z0-9]"))) > 1)
 
 
 def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, templates: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -120,16 +115,22 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     every = F.array(*[F.lit(g) for g in sorted({g for _, own in known for g in own})])
 
     marked = F.col(text).rlike(r"(?i)\b(?:" + "|".join(markers([g for _, g in known], least)) + ")")
-    whole = F.col(text)
-    lines = F.split(whole, "\n")
-    units = docs.where(marked).select(F.col(doc_id).alias("doc_id"), F.explode_outer(F.when(F.size(lines) > 1, F.concat(F.array(whole), lines, F.filter(line_runs(whole, every), lambda x: x != whole))).otherwise(lines)).alias("unit"))
+    whole, lines, near = F.col("whole"), F.col("lines"), F.transform("own", lambda g: 2 * F.size(F.array_intersect(g, every)) >= F.size(g))
+    texts = docs.where(marked).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("whole"), F.split(text, "\n").alias("lines"))
+    # columns, so that a lambda doesn't split a line anew for each use
+    texts = texts.withColumn("words", F.transform("lines", normalised_words)).withColumn("own", F.transform("words", bigrams)).withColumn("near", near)
+    runs = F.filter(line_runs(lines, F.col("near")), lambda x: x != whole)
+    units = texts.select("doc_id", F.explode_outer(F.when(F.size("lines") > 1, F.concat(F.array("whole"), "lines", runs)).otherwise(F.col("lines"))).alias("unit"))
     # a word has a character and a separator, so short units fall out by length before they are split
     words = units.where(F.length("unit") >= int(low) + 1).select("doc_id", normalised_words(F.col("unit")).alias("w"))
     words = words.where((F.size("w") - 1 >= low) & (F.size(F.array_distinct("w")) - 1 <= high))
-    grams = words.select("doc_id", bigrams(F.col("w")).alias("a"))
+    # the number of a unit tells its templates apart again; it also keeps bigrams from being computed anew for each template
+    grams = words.select("doc_id", bigrams(F.col("w")).alias("a"), F.monotonically_increasing_id().alias("number"))
     fit = lambda t: (F.size("a") >= t["size"] * least / (2 - least)) & (F.size("a") <= t["size"] * (2 - least) / least)
-    scored = F.transform(F.filter(lit, fit), lambda t: F.struct((2.0 * F.size(F.array_intersect(F.col("a"), t["grams"])) / (F.size("a") + t["size"])).alias("dice"), t["license"].alias("license")))
-    best = grams.select("doc_id", F.array_max(scored).alias("t")).where(F.col("t.dice") >= least)
+    pairs = grams.select("doc_id", "number", "a", F.explode_outer(F.filter(lit, fit)).alias("t"))
+    dice = 2.0 * F.size(F.array_intersect("a", "t.grams")) / (F.size("a") + F.col("t.size"))
+    scored = pairs.select("doc_id", "number", F.struct(dice.alias("dice"), F.col("t.license").alias("license")).alias("t")).where(F.col("t.dice") >= least)
+    best = scored.groupBy("doc_id", "number").agg(F.max("t").alias("t"))
     return best.groupBy("doc_id", F.col("t.license").alias("license")).agg(F.count("*").alias("n_units"), F.round(F.max("t.dice"), 6).alias("dice"))
 
 
