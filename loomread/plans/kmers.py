@@ -12,13 +12,12 @@ def _docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
-def _rows(spark, d, k):
-    return K.kmer_rows(_docs(spark, d), "doc_id", "text", k)
+def _totals(spark, d, k):
+    return K.kmer_totals(_docs(spark, d).select("text"), "text", k)
 
 
 def kmer_doc_support(spark, d):
-    rows = _rows(spark, d, 8)
-    return rows.groupBy("kmer", "key").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n_kmers"), F.count("*").alias("n_distinct"), F.max("n").alias("most")).withColumnRenamed("key", "doc_id")
+    return K.key_support(_docs(spark, d).select("doc_id", "text"), "doc_id", "text", 8).withColumnRenamed("key", "doc_id")
 
 
 def rev_comp(spark, d):
@@ -46,20 +45,20 @@ def base_encode(spark, d):
 
 def ext_mask_or(spark, d):
     """Bit masks of the vowels that follow each vowel, OR-ed over all documents."""
-    pairs = _rows(spark, d, 2).where(F.col("kmer").rlike("^[AEIOU]{2}$"))
+    pairs = _totals(spark, d, 2).where(F.col("kmer").rlike("^[AEIOU]{2}$"))
     code = F.when(F.expr("right(kmer, 1)") == "A", 1).when(F.expr("right(kmer, 1)") == "E", 2).when(F.expr("right(kmer, 1)") == "I", 4).when(F.expr("right(kmer, 1)") == "O", 8).otherwise(16)
-    return pairs.groupBy(F.expr("left(kmer, 1)").alias("base")).agg(F.bit_or(code).cast("int").alias("mask"), F.count("*").alias("n"))
+    return pairs.groupBy(F.expr("left(kmer, 1)").alias("base")).agg(F.bit_or(code).cast("int").alias("mask"), F.sum("n").alias("n"))
 
 
 QUERIES = {
-    "kmer_filter": lambda s, d: K.supported_kmers(_rows(s, d, 8)),
-    "kmer_spectrum": lambda s, d: K.spectrum(_rows(s, d, 8)),
-    "kmer_canonical": lambda s, d: K.canonical_counts(_rows(s, d, 3)),
+    "kmer_filter": lambda s, d: K.supported_kmers(K.kmer_support(_docs(s, d).select("doc_id", "text"), "doc_id", "text", 8)),
+    "kmer_spectrum": lambda s, d: K.spectrum(_totals(s, d, 8)),
+    "kmer_canonical": lambda s, d: K.canonical_counts(_totals(s, d, 3)),
     "kmer_doc_support": kmer_doc_support,
-    "kmer_best_middle_base": lambda s, d: K.best_middle(_rows(s, d, 5)),
-    "minimizer_partition": lambda s, d: K.partition_by_minimizer(_rows(s, d, 6), 4),
-    "pmer_permutation": lambda s, d: K.inverse_frequency_rank(_rows(s, d, 3)),
-    "graph_extensions": lambda s, d: K.extensions(_rows(s, d, 5)),
+    "kmer_best_middle_base": lambda s, d: K.best_middle(_totals(s, d, 5)),
+    "minimizer_partition": lambda s, d: K.partition_by_minimizer(_totals(s, d, 6), 4),
+    "pmer_permutation": lambda s, d: K.inverse_frequency_rank(_totals(s, d, 3)),
+    "graph_extensions": lambda s, d: K.extensions(_totals(s, d, 5)),
     "rev_comp": rev_comp,
     "seq_mask": seq_mask,
     "sub_slices": sub_slices,

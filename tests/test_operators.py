@@ -159,3 +159,24 @@ def test_variant_kinds_and_files(spark):
     got = V.read_vcf(spark, path)
     assert sorted((r.chrom, r.pos, r.kind) for r in got.collect()) == [("1", 5, "S"), ("1", 6, "D"), ("2", 7, "I"), ("2", 8, "C"), ("2", 9, "X"), ("2", 9, "X")]
     assert V.read_vcf(spark, path, locus=("2", 6, 8)).count() == 2 and got.where(F.col("alt").isNull()).count() == 1
+
+
+def test_kmers_are_counted_in_tasks(spark, monkeypatch):
+    from collections import Counter
+
+    rows = [(1, "abcabcab"), (2, "ABCAB\nT"), (2, "abcabé€"), (None, "abcabc"), (None, "xyzabc"), (3, "\0\0\0\0\0"), (4, "é€é€é€"), (5, "ab"), (6, None), (7, "漢字漢字漢字"), (8, "ſtraßeſtraße")]
+    upper = lambda t: "".join(c.upper() if "a" <= c <= "z" else c for c in t or "")
+    each = [(key, upper(t)[i:i + 3]) for key, t in rows for i in range(len(t or "") - 2)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    obs, keys = Counter(m for _, m in each), Counter(m for key, m in set(each) if key is not None)
+    for windows in (kmers.WINDOWS, 1):
+        monkeypatch.setattr(kmers, "WINDOWS", windows)
+        assert {r.kmer: r.n for r in kmers.kmer_totals(df, "t", 3).collect()} == obs
+        assert {r.kmer: (r.n_obs, r.n_keys) for r in kmers.kmer_support(df, "id", "t", 3).collect()} == {m: (n, keys[m]) for m, n in obs.items()}
+    per = {key: Counter(m for x, m in each if x == key) for key, _ in each}
+    assert {r.key: (r.n_kmers, r.n_distinct, r.most) for r in kmers.key_support(df, "id", "t", 3).collect()} == {key: (sum(c.values()), len(c), max(c.values())) for key, c in per.items()}
+    long = spark.createDataFrame([(1, "abcdefghijkl" * 2)], "id long, t string")
+    assert {r.kmer: r.n for r in kmers.kmer_totals(long, "t", 12).collect()}["ABCDEFGHIJKL"] == 2
+    # no (kmer, key) is sent where keys have one row
+    one = kmers.kmer_support(df.where("id > 2"), "id", "t", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("Aggregate") == 1
