@@ -200,7 +200,7 @@ def spectrum(totals: DataFrame) -> DataFrame:
 
 def canonical_counts(totals: DataFrame) -> DataFrame:
     """(kmer, n, n_flipped): counts by canonical form of k-mers of ACGT."""
-    acgt = totals.where(F.col("kmer").rlike("^[ACGT]+$"))
+    acgt = totals.where(F.col("kmer").rlike(r"\A[ACGT]+\z"))  # $ would let a line end follow
     return acgt.select(canonical(F.col("kmer")).alias("kmer"), "n", is_flipped(F.col("kmer")).alias("f")).groupBy("kmer").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("f"), F.col("n")).otherwise(0)).alias("n_flipped"))
 
 

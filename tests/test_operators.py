@@ -180,3 +180,8 @@ def test_kmers_are_counted_in_tasks(spark, monkeypatch):
     # no (kmer, key) is sent where keys have one row
     one = kmers.kmer_support(df.where("id > 2"), "id", "t", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert one.count("Aggregate") == 1
+
+
+def test_a_line_end_is_no_base(spark):
+    df = spark.createDataFrame([("AT\n", 1), ("ATA", 2)], "kmer string, n long")
+    assert [tuple(r) for r in kmers.canonical_counts(df).collect()] == [("ATA", 2, 0)]
