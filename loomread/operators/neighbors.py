@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomread.operators.ordinals import ordinals
+from loomread.storage import stored
+
+BLOCK = 512        # groups of a block, at most
+PAIRS = 4_000_000  # pairs that a task makes, about
+
 
 def shared_counts(members: DataFrame, group: str, item: str, least: int) -> DataFrame:
-    """(a, b, n, na, nb) with a < b: groups that share ``least`` items or more; members are made distinct first."""
-    m = members.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    size = m.groupBy("g").agg(F.count("*").alias("n"))
-    pairs = m.select(F.col("g").alias("a"), "i").join(m.select(F.col("g").alias("b"), "i"), "i").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return pairs.join(size.select(F.col("g").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "n", "na", "nb")
+    """(a, b, n, na, nb) with a < b: groups that share ``least`` items or more; members are made distinct first.
+
+    Groups are numbered in their order and cut into blocks. An item sends each block that it has a group of its groups from that block on, once, as
+    a list of numbers; pairs are made and counted within the block of the lesser group, and never sent. A list has as many numbers as the item has groups.
+    """
+    m = stored(members.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct(), "members")
+    size = stored(ordinals(m.groupBy("g").agg(F.count("*").alias("n")), ["g"], "r").select("g", "n", F.col("r").cast("int").alias("r")), "groups")
+    lists = m.join(size.select("g", "r"), "g").where("i is not null").groupBy("i").agg(F.sort_array(F.collect_list("r")).alias("l")).where(F.size("l") > 1)
+    lists = stored(lists.select("l"), "lists")
+    made = lists.agg(F.sum(F.size("l") * (F.size("l") - 1.0) / 2)).first()[0] or 0
+    width = min(BLOCK, size.count() // 64 + 1)
+    blocks = F.array_distinct(F.transform("l", lambda r: F.floor(r / width).cast("int")))
+    sent = lists.select("l", F.explode_outer(blocks).alias("x"))
+    sent = sent.select("x", F.filter("l", lambda r: r >= F.col("x") * width).alias("l")).where(F.size("l") > 1).repartition(min(4096, 64 + int(made // PAIRS)), "x")
+    at = sent.select("x", "l", F.posexplode("l").alias("p", "a")).where((F.col("a") < (F.col("x") + 1) * width) & (F.col("p") < F.size("l") - 1))
+    met = at.select("x", "a", F.explode_outer(F.slice("l", F.col("p") + 2, F.size("l"))).alias("b"))
+    pairs = met.groupBy("x", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    named = lambda own: size.select(F.col("r").alias(own), F.col("g").alias(f"g{own}"), F.col("n").alias(f"n{own}"))
+    return pairs.join(named("a"), "a").join(named("b"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"), "n", "na", "nb")
 
 
 def jaccard(pairs: DataFrame) -> DataFrame:

@@ -185,3 +185,27 @@ def test_kmers_are_counted_in_tasks(spark, monkeypatch):
 def test_a_line_end_is_no_base(spark):
     df = spark.createDataFrame([("AT\n", 1), ("ATA", 2)], "kmer string, n long")
     assert [tuple(r) for r in kmers.canonical_counts(df).collect()] == [("ATA", 2, 0)]
+
+
+def test_shared_counts_in_blocks(spark, monkeypatch):
+    from itertools import combinations
+
+    from loomread.operators import neighbors as N
+
+    rows = [(g * 7, i) for g in range(150) for i in range(40) if (g * 31 + i * i) % 5 == 0 or i == 3] + [(0, 1), (0, 1), (None, 3), (7, None), (14, None)]
+    sets = {}
+    for g, i in set(rows):
+        sets.setdefault(g, set()).add(i)
+    want = set()
+    for a, b in combinations(sorted(g for g in sets if g is not None), 2):
+        n = len(sets[a] & sets[b] - {None})
+        if n >= 2:
+            want.add((a, b, n, len(sets[a]), len(sets[b])))
+    df = spark.createDataFrame(rows, "g long, i long")
+    for block in (N.BLOCK, 2):
+        monkeypatch.setattr(N, "BLOCK", block)
+        got = N.shared_counts(df, "g", "i", 2)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert N.shared_counts(df.limit(0), "g", "i", 2).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(x" in plan and "hashpartitioning(a" not in plan.split("Aggregate")[-1]  # pairs are counted where they are made
