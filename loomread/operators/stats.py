@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomread.operators.ordinals import running_totals
+from loomread.storage import stored
+
+FEW_KEYS = 100_000  # keys of which a row each may be broadcast
+
 
 def _running(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
     """Distinct values with their multiplicity, and the running and whole sums of value * multiplicity.
@@ -90,3 +95,22 @@ def kl_divergence(p: DataFrame, q: DataFrame, value: str) -> DataFrame:
 def weighted_mean(value: str) -> Column:
     """sum v^2 / sum v: the mean size that an element of the whole sees."""
     return F.sum(F.col(value) * F.col(value)) / F.sum(value)
+
+
+def percentiles(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """(key, p): the exact percentiles of each key's values, interpolated between neighbours; nulls count for nothing, a key without values has nulls.
+
+    Values are counted first and dealt by ranges; each is told by running totals which ranks it holds, so that no task holds all values of a key.
+    """
+    counts = stored(df.groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.when(F.col("v").isNull(), 0).otherwise(F.count("*")).alias("n")), "counts")
+    total = counts.groupBy("k").agg(F.sum("n").alias("total"))
+    some = running_totals(counts.where("n > 0"), ["k", "v"], "n", "before")
+    first = some.groupBy("k").agg(F.min("before").alias("first"))
+    all_ = total.join(first.withColumnRenamed("k", "own"), F.col("k").eqNullSafe(F.col("own")), "left").select(F.col("k").alias("own"), "total", "first")
+    all_ = stored(all_, "keys")
+    held = some.join(F.broadcast(all_) if all_.count() <= FEW_KEYS else all_, F.col("k").eqNullSafe(F.col("own"))).withColumn("lo", F.col("before") - F.col("first"))
+    at = lambda rank: F.max(F.when((F.col("lo") <= rank) & (rank < F.col("lo") + F.col("n")), F.col("v")))
+    place = [(F.col("total") - 1) * F.lit(float(x)) for x in shares]
+    found = held.groupBy("k").agg(F.max("total").alias("total"), *[at(g(p)).alias(f"{c}{i}") for i, p in enumerate(place) for c, g in (("a", F.floor), ("b", F.ceil))])
+    p = F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (x - F.floor(x)) for i, x in enumerate(place)])
+    return all_.select("own").join(found, F.col("own").eqNullSafe(F.col("k")), "left").select(F.col("own").alias(key), p.alias("p"))

@@ -22,7 +22,8 @@ def size_histogram(s, d):
 
 def exact_quantiles(s, d):
     q = [0.05, 0.25, 0.5, 0.75, 0.95]
-    return _t(s, d, "lineitem").groupBy("l_returnflag").agg(*[F.round(F.percentile("l_extendedprice", x), 4).alias(f"p{int(x * 100):02d}") for x in q])
+    r = S.percentiles(_t(s, d, "lineitem"), "l_returnflag", "l_extendedprice", q)
+    return r.select("l_returnflag", *[F.round(F.get("p", F.lit(i)), 4).alias(f"p{int(x * 100):02d}") for i, x in enumerate(q)])
 
 
 def generalized_iqr(s, d):
@@ -50,12 +51,15 @@ def qc_grouping_sets(s, d):
 
 def approx_quantile(s, d):
     """Approximate median beside the exact one: whether it lies within 1 % of the rank."""
-    r = _t(s, d, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("a"), F.percentile("l_extendedprice", 0.49).alias("lo"), F.percentile("l_extendedprice", 0.51).alias("hi"))
-    return r.select("l_returnflag", F.col("a").between(F.col("lo"), F.col("hi")).alias("close"))
+    t = _t(s, d, "lineitem")
+    a = t.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", 0.5, 10000).alias("a")).select(F.col("l_returnflag").alias("flag"), "a")
+    exact = S.percentiles(t, "l_returnflag", "l_extendedprice", [0.49, 0.51])
+    return exact.join(a, F.col("l_returnflag").eqNullSafe(F.col("flag"))).select("l_returnflag", F.col("a").between(F.get("p", F.lit(0)), F.get("p", F.lit(1))).alias("close"))
 
 
 def approx_distinct(s, d):
-    r = _t(s, d, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("n"))
+    """Distinct parts by sketch and exactly; the sketch runs over distinct pairs, so that no pair carries one of its own."""
+    r = _t(s, d, "lineitem").select("l_returnflag", "l_partkey").distinct().groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count("l_partkey").alias("n"))
     return r.select("l_returnflag", "n", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
 
 

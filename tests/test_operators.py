@@ -209,3 +209,22 @@ def test_shared_counts_in_blocks(spark, monkeypatch):
     assert N.shared_counts(df.limit(0), "g", "i", 2).collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(x" in plan and "hashpartitioning(a" not in plan.split("Aggregate")[-1]  # pairs are counted where they are made
+
+
+def test_percentiles_by_ranges(spark):
+    rows = [("a", float(i * i % 37)) for i in range(101)] + [("b", 2.5), ("c", None), (None, 1.0), (None, 2.0), ("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = [0.0, 0.05, 0.5, 0.77, 1.0]
+    want = {r.k: r.p for r in df.groupBy("k").agg(F.array(*[F.percentile("v", x) for x in shares]).alias("p")).collect()}
+    frame = stats.percentiles(df, "k", "v", shares)
+    got = {r.k: r.p for r in frame.collect()}
+    assert got.keys() == want.keys()
+    assert all([x and round(x, 9) for x in got[k]] == [x and round(x, 9) for x in want[k]] for k in got)
+    assert "percentile" not in frame._jdf.queryExecution().optimizedPlan().toString()  # whose state is all values of a key
+
+
+def test_sketch_runs_over_distinct_pairs(spark):
+    from loomread.plans.stats import approx_distinct
+
+    plan = approx_distinct(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and "distinct l_partkey" not in plan
