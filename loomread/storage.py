@@ -31,3 +31,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks_for(df: DataFrame, rows: int = 200_000) -> int:
+    """How many tasks take about ``rows`` of ``df`` each: a stated number of parts is not put together again by their size before rows multiply or meet."""
+    return min(4096, 16 + df.count() // rows)

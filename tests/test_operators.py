@@ -228,3 +228,11 @@ def test_sketch_runs_over_distinct_pairs(spark):
 
     plan = approx_distinct(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2 and "distinct l_partkey" not in plan
+
+
+def test_bridging_pairs_stay_in_their_block(spark):
+    from loomread.plans.keys import bridging_test
+
+    df = bridging_test(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
