@@ -50,8 +50,8 @@ def decontamination(spark, docs, sf_dir):
 
 
 def sentencepiece(spark, docs, sf_dir):
-    """Each document's encoding: pieces, scores of its three best segmentations and a digest of the ids."""
-    return encode_texts(docs.select(COLUMNS), ids=False).select("doc_id", "lang", "source", "n_chars", "n_pieces", "best_score", "scores", "ids_sha256", "round_trip")
+    """Each document's encoding: pieces, and scores and digests of the ids of its three best segmentations."""
+    return encode_texts(docs.select(COLUMNS), ids=False).select("doc_id", "lang", "source", "n_chars", "n_pieces", "best_score", "scores", "ids_sha256", "round_trip", "n_best_sha256")
 
 
 STAGES = [

@@ -291,21 +291,22 @@ def _replaced(ids: np.ndarray, ends: np.ndarray, other: dict[int, tuple]) -> np.
 
 
 def encode_texts(docs: DataFrame, text_col: str = "text", model: str = MODEL, n_best: int = 3, ids: bool = True) -> DataFrame:
-    """``docs`` with n_pieces, best_score, scores, ids_sha256, round_trip and, with ids, n_best (array of score and ids).
+    """``docs`` with n_pieces, best_score, scores, ids_sha256, round_trip, n_best_sha256 and, with ids, n_best (array of score and ids).
 
     scores has the sums of piece scores, best first, of the n_best segmentations of the whole text, or of all if there
-    are fewer; the other columns are of the best. Scores are as the model file gives them, where
+    are fewer; n_pieces, best_score and ids_sha256 are of the best. Scores are as the model file gives them, where
     pieces with the file's -1e9 count just below the least other one; a character that is no piece
     is encoded as its bytes, at less than the least score. No piece goes over the start of a token, so the lattice falls
     apart there: forward Viterbi runs over the tokens that a task has not seen lately, many side by side, and gives
     each one's best segmentation and how much its second best loses. The n best texts differ from the best one only
     in the n - 1 tokens that lose least; those get their n best by A*, and the texts are the least sums of losses.
-    round_trip says that decoding gives the
-    text; ids_sha256 is of the ids as little-endian 32-bit numbers. Null and empty texts have no pieces and score 0;
+    All n segmentations of the whole text are put together and decoded, with ids or without: n_best_sha256 has a digest
+    of each one's ids as little-endian 32-bit numbers, in the order of scores, and round_trip says that decoding each gives the
+    text; ids_sha256 is the digest of the best. Null and empty texts have no pieces and score 0;
     a text or token may be long (time grows in proportion); repeated rows get equal results; columns of docs with one
     of the new names are replaced; an empty table gives an empty result.
     """
-    new = "n_pieces long, best_score double, scores array<double>, ids_sha256 string, round_trip boolean" + ", n_best array<struct<score: double, ids: array<int>>>" * ids
+    new = "n_pieces long, best_score double, scores array<double>, ids_sha256 string, round_trip boolean, n_best_sha256 array<string>" + ", n_best array<struct<score: double, ids: array<int>>>" * ids
     schema, arrow = extended(docs.schema, new)
     names = [f.name for f in T.StructType.fromDDL(new).fields]
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))  # as large as the model file, whatever the corpus
@@ -315,24 +316,27 @@ def encode_texts(docs: DataFrame, text_col: str = "text", model: str = MODEL, n_
         v = vocabulary.value
         seen = Tokens(v, n_best)
         for b in batches:
-            cols = {c: [] for c in names}
-            texts = b.column(at).to_pylist()
-            for few in _some(texts):
+            begun = 0
+            for few in _some(b.column(at).to_pylist()):
+                cols = {c: [] for c in names}
                 cut = [tokens(t) for t in few]
                 for t, parts, own in zip(few, cut, seen.numbers(cut)):
                     best, score = seen.encode(own), float(seen.score[own].sum())
                     near = np.argpartition(seen.gap[own], min(n_best, len(own)) - 1)[:n_best - 1] if len(own) else own
                     ranked = best_texts({i: seen.n_best(parts[i]) for i in near.tolist()}, n_best)
+                    ends = np.cumsum(seen.size[own])
+                    paths = [best] + [_replaced(best, ends, {i: seen.n_best(parts[i])[k][1] for i, k in pick.items()}) for _, pick in ranked[1:]]
+                    digests = [hashlib.sha256(path.tobytes()).hexdigest() for path in paths]
                     cols["n_pieces"].append(len(best))
                     cols["best_score"].append(score)
                     cols["scores"].append([score - loss for loss, _ in ranked])
-                    cols["ids_sha256"].append(hashlib.sha256(best.tobytes()).hexdigest())
-                    cols["round_trip"].append(decode(best, v.bytes_of) == (t or ""))
+                    cols["ids_sha256"].append(digests[0])
+                    cols["round_trip"].append(all(decode(path, v.bytes_of) == (t or "") for path in paths))
+                    cols["n_best_sha256"].append(digests)
                     if ids:
-                        ends = np.cumsum(seen.size[own])
-                        paths = [best] + [_replaced(best, ends, {i: seen.n_best(parts[i])[k][1] for i, k in pick.items()}) for _, pick in ranked[1:]]
                         cols["n_best"].append([{"score": score - loss, "ids": path} for (loss, _), path in zip(ranked, paths)])
-            yield with_columns(b, set(names), cols, arrow)
+                yield with_columns(b.slice(begun, len(few)), set(names), cols, arrow)
+                begun += len(few)
 
     return docs.mapInArrow(run, schema)
 

@@ -151,6 +151,23 @@ def test_encoding_round_trip(spark):
     assert pieces.encode_texts(df.limit(0)).collect() == []
 
 
+@needs_model
+def test_digests_are_of_all_segmentations(spark, tmp_path):
+    """The query and the pipeline's stage have a digest of each of the three best segmentations, put together over whole texts."""
+    import hashlib
+
+    import corpus_pipeline as P
+
+    rows = [(1, "the cat sat on the mat " * 60_000), (2, None), (3, ""), (4, "a b"), (5, "é日本語 \t tab\nx"), (6, "q")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: [hashlib.sha256(pieces.np.array(p.ids, "<i4").tobytes()).hexdigest() for p in r.n_best] for r in pieces.encode_texts(df).collect()}
+    assert len(want[1]) == 3 and len(set(want[1])) == 3 and len(want[2]) == len(want[3]) == 1
+    for got in (pieces.op3_sentencepiece_nbest(spark, str(tmp_path)).collect(), P.sentencepiece(spark, df, str(tmp_path)).collect()):
+        assert {r.doc_id: r.n_best_sha256 for r in got} == want
+        assert all(r.round_trip and len(r.scores) == len(r.n_best_sha256) and r.ids_sha256 == r.n_best_sha256[0] for r in got)
+
+
 @needs_model
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
