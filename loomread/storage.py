@@ -36,3 +36,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def tasks_for(df: DataFrame, rows: int = 200_000) -> int:
     """How many tasks take about ``rows`` of ``df`` each: a stated number of parts is not put together again by their size before rows multiply or meet."""
     return min(4096, 16 + df.count() // rows)
+
+
+def distinct_in_tasks(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The distinct rows of ``df``, dealt by their hash to tasks of about ``rows`` rows before any are held.
+
+    distinct() would hold those of a whole input split in a task, and then of as many shuffled bytes as Spark puts together.
+    """
+    return df.repartition(tasks_for(df, rows), *df.columns).distinct()

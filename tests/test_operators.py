@@ -236,3 +236,10 @@ def test_bridging_pairs_stay_in_their_block(spark):
     df = bridging_test(spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_distinct_variants_are_dealt_before_they_are_held(spark):
+    from loomread.plans import loci
+
+    plan = loci._variants(spark, "/root/testdata/sf0.001", "A", "R")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
