@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from loomread.storage import stored
 
 
+FEW = 20_000  # rows of a frontier that are broadcast
+
+
+def _step(front: DataFrame, n: int, edges: DataFrame) -> DataFrame:
+    """The ``n`` rows of ``front`` (node, ...) with the edges out of their nodes; only a counted small frontier goes through the driver.
+
+    Spark would broadcast by the compressed size of files, and so also edges and nodes that are many times as large in memory, in every
+    round; other joins here are hinted to merge for that reason.
+    """
+    return (F.broadcast(front) if n <= FEW else front.hint("merge")).join(edges, F.col("node") == F.col("u"))
+
+
 def breadth_first(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth) of every node that ``roots`` (node) reach; a round joins the frontier with the edges and leaves out seen nodes."""
     seen = front = stored(roots.select("node", F.lit(0).alias("depth")).distinct(), "front")
     depth = 0
-    while not front.isEmpty():
+    while n := front.count():
         depth += 1
-        step = front.join(edges, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
-        front = stored(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth")), "front")
+        step = _step(front, n, edges).select(F.col("v").alias("node")).distinct()
+        front = stored(step.join(seen.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(depth).alias("depth")), "front")
         seen = seen.unionAll(front)
     return seen
 
@@ -28,7 +40,7 @@ def reachable(edges: DataFrame, src: str, dst: str) -> DataFrame:
     paths = stored(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "closure")
     n = paths.count()
     while n:
-        longer = paths.join(paths.select(F.col("u").alias("v"), F.col("v").alias("w")), "v").select("u", F.col("w").alias("v"))
+        longer = paths.join(paths.select(F.col("u").alias("v"), F.col("v").alias("w")).hint("merge"), "v").select("u", F.col("w").alias("v"))
         paths = stored(paths.union(longer).distinct(), "closure")
         before, n = n, paths.count()
         if n == before:
@@ -41,7 +53,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     cur = stored(edges.select("u", "v").distinct(), "core")
     n = cur.count()
     while n:
-        cur = stored(cur.join(cur.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(cur.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v"), "core")
+        cur = stored(cur.join(cur.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").join(cur.select(F.col("u").alias("v")).distinct().hint("merge"), "v", "left_semi").select("u", "v"), "core")
         before, n = n, cur.count()
         if n == before:
             break
@@ -52,10 +64,10 @@ def _least_forward(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, color): the least node that reaches it, itself included, over the edges; labels travel until none changes."""
     color = stored(nodes.select("node", F.col("node").alias("color")), "color")
     moved = color
-    while not moved.isEmpty():
+    while n := moved.count():
         # only labels that changed travel on
-        sent = moved.join(edges, F.col("node") == F.col("u")).groupBy(F.col("v").alias("node")).agg(F.min("color").alias("sent"))
-        new = color.join(sent, "node", "left").select("node", F.least("color", F.coalesce("sent", "color")).alias("color"), (F.col("sent") < F.col("color")).alias("changed"))
+        sent = _step(moved, n, edges).groupBy(F.col("v").alias("node")).agg(F.min("color").alias("sent"))
+        new = color.join(sent.hint("merge"), "node", "left").select("node", F.least("color", F.coalesce("sent", "color")).alias("color"), (F.col("sent") < F.col("color")).alias("changed"))
         new = stored(new, "color")
         moved, color = new.where("changed").select("node", "color"), new.select("node", "color")
     return color
@@ -75,17 +87,17 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not core.isEmpty():
         inside = core.select(F.col("u").alias("node")).union(core.select("v")).distinct()
         color = _least_forward(core, inside)
-        tinted = core.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")), "v")
+        tinted = core.join(color.select(F.col("node").alias("u"), F.col("color").alias("cu")).hint("merge"), "u").join(color.select(F.col("node").alias("v"), F.col("color").alias("cv")).hint("merge"), "v")
         back = stored(tinted.where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v")), "back")
         reached = breadth_first(back, color.where("node = color").select("node")).select("node")
-        part = stored(color.join(reached, "node", "left_semi").select("node", F.col("color").alias("component")), "strong")
+        part = stored(color.join(reached.hint("merge"), "node", "left_semi").select("node", F.col("color").alias("component")), "strong")
         found.append(part)
-        rest = core.join(part.select(F.col("node").alias("u")), "u", "left_anti").join(part.select(F.col("node").alias("v")), "v", "left_anti")
+        rest = core.join(part.select(F.col("node").alias("u")).hint("merge"), "u", "left_anti").join(part.select(F.col("node").alias("v")).hint("merge"), "v", "left_anti")
         core = cyclic_core(rest.select("u", "v"))
     named = nodes.select("node", F.lit(None).cast("long").alias("component")).limit(0)
     for f in found:
         named = named.unionByName(f)
-    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(named.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def distances_within(edges: DataFrame, roots: DataFrame, bound: Column | float, weight: str = "w") -> DataFrame:
@@ -93,8 +105,8 @@ def distances_within(edges: DataFrame, roots: DataFrame, bound: Column | float,
     limit = bound if isinstance(bound, Column) else F.lit(bound)
     best = stored(roots.select(F.col("node").alias("root"), "node", F.lit(0.0).alias("dist")).distinct(), "dist")
     moved = best
-    while not moved.isEmpty():
-        step = moved.join(edges, F.col("node") == F.col("u")).select("root", F.col("v").alias("node"), (F.col("dist") + F.col(weight)).alias("dist")).where(F.col("dist") <= limit)
+    while n := moved.count():
+        step = _step(moved, n, edges).select("root", F.col("v").alias("node"), (F.col("dist") + F.col(weight)).alias("dist")).where(F.col("dist") <= limit)
         step = step.groupBy("root", "node").agg(F.min("dist").alias("d"))
         new = stored(best.join(step, ["root", "node"], "full").select("root", "node", F.least("dist", "d").alias("dist"), F.coalesce(F.col("d") < F.col("dist"), F.col("dist").isNull()).alias("changed")), "dist")
         moved, best = new.where("changed").select("root", "node", "dist"), new.select("root", "node", "dist")

@@ -243,3 +243,18 @@ def test_distinct_variants_are_dealt_before_they_are_held(spark):
 
     plan = loci._variants(spark, "/root/testdata/sf0.001", "A", "R")._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM"):]
+
+
+def test_graph_rounds_send_no_large_side_through_the_driver(spark, monkeypatch):
+    from loomread.operators import graphs as G
+
+    plans, stored = [], G.stored
+    monkeypatch.setattr(G, "FEW", 0, raising=False)
+    monkeypatch.setattr(G, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    df = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3)], "u long, v long")
+    root = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.depth for r in G.breadth_first(df, root).collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4}
+    out = G.strong_components(df)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.node: r.component for r in out.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
