@@ -15,19 +15,24 @@ def _step(front: DataFrame, n: int, edges: DataFrame) -> DataFrame:
     """The ``n`` rows of ``front`` (node, ...) with the edges out of their nodes; only a counted small frontier goes through the driver.
 
     Spark would broadcast by the compressed size of files, and so also edges and nodes that are many times as large in memory, in every
-    round; other joins here are hinted to merge for that reason.
+    round; other joins of rounds with more than FEW rows are hinted to merge for that reason.
     """
     return (F.broadcast(front) if n <= FEW else front.hint("merge")).join(edges, F.col("node") == F.col("u"))
 
 
+def _met(df: DataFrame, n: int) -> DataFrame:
+    """``df`` as a side of a join, of ``n`` rows at most: merged with, unless it is small."""
+    return df if n <= FEW else df.hint("merge")
+
+
 def breadth_first(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth) of every node that ``roots`` (node) reach; a round joins the frontier with the edges and leaves out seen nodes."""
     seen = front = stored(roots.select("node", F.lit(0).alias("depth")).distinct(), "front")
-    depth = 0
+    depth = total = 0
     while n := front.count():
-        depth += 1
+        depth, total = depth + 1, total + n
         step = _step(front, n, edges).select(F.col("v").alias("node")).distinct()
-        front = stored(step.join(seen.select("node").hint("merge"), "node", "left_anti").select("node", F.lit(depth).alias("depth")), "front")
+        front = stored(step.join(_met(seen.select("node"), total), "node", "left_anti").select("node", F.lit(depth).alias("depth")), "front")
         seen = seen.unionAll(front)
     return seen
 
@@ -53,7 +58,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     cur = stored(edges.select("u", "v").distinct(), "core")
     n = cur.count()
     while n:
-        cur = stored(cur.join(cur.select(F.col("v").alias("u")).distinct().hint("merge"), "u", "left_semi").join(cur.select(F.col("u").alias("v")).distinct().hint("merge"), "v", "left_semi").select("u", "v"), "core")
+        cur = stored(cur.join(_met(cur.select(F.col("v").alias("u")).distinct(), n), "u", "left_semi").join(_met(cur.select(F.col("u").alias("v")).distinct(), n), "v", "left_semi").select("u", "v"), "core")
         before, n = n, cur.count()
         if n == before:
             break
@@ -63,11 +68,11 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def _least_forward(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, color): the least node that reaches it, itself included, over the edges; labels travel until none changes."""
     color = stored(nodes.select("node", F.col("node").alias("color")), "color")
-    moved = color
+    moved, every = color, color.count()
     while n := moved.count():
         # only labels that changed travel on
         sent = _step(moved, n, edges).groupBy(F.col("v").alias("node")).agg(F.min("color").alias("sent"))
-        new = color.join(sent.hint("merge"), "node", "left").select("node", F.least("color", F.coalesce("sent", "color")).alias("color"), (F.col("sent") < F.col("color")).alias("changed"))
+        new = color.join(_met(sent, every), "node", "left").select("node", F.least("color", F.coalesce("sent", "color")).alias("color"), (F.col("sent") < F.col("color")).alias("changed"))
         new = stored(new, "color")
         moved, color = new.where("changed").select("node", "color"), new.select("node", "color")
     return color
