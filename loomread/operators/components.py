@@ -21,8 +21,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     self loops link nothing (a self loop still names its node). An empty table gives an empty result.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    nodes = pairs.select("u").union(pairs.select("v")).distinct()
-    cur = stored(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
+    named = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")  # edges may be dear: they are made once
+    nodes = named.select("u").union(named.select("v")).distinct()
+    cur = named.where("u <> v")
     state = _state(cur)
     for _ in range(max_rounds):
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))

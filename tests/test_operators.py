@@ -211,6 +211,51 @@ def test_shared_counts_in_blocks(spark, monkeypatch):
     assert "hashpartitioning(x" in plan and "hashpartitioning(a" not in plan.split("Aggregate")[-1]  # pairs are counted where they are made
 
 
+def test_edges_of_components_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    df = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 3).alias("b")).mapInArrow(seen, "a long, b long")
+    got = {r.node: r.component for r in connected_components(df, "a", "b").collect()}
+    assert got == {i: i % 3 for i in range(63)} and made.value == 60
+
+
+def test_pairs_of_blocks_and_bands(spark, monkeypatch):
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    from loomread.operators import neighbors as N
+
+    sets = {f"i{i}": [r for r in range(60) if (r * 7 + i * i) % (i + 2) < 2] for i in range(20)} | {"every": list(range(60)), "one": [8]}
+    want = {}
+    for l in sets.values():
+        for p in combinations(l, 2):
+            want[p] = want.get(p, 0) + 1
+    rows = sorted(((i, r) for i, l in sets.items() for r in l), key=lambda c: (c[0], c[1] * 37 % 60))
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([c[0] for c in part], pa.string()), pa.array([c[1] for c in part], pa.int32())], ["i", "r"])
+    for held, of, width, band in ((4_000_000, 1000, 512, 16), (5, 7, 4, 2), (50, 1, 3, 3), (9, 25, 1, 1)):
+        monkeypatch.setattr(N, "HELD", held)
+        sent = [m for b in N._deal(width, band, 60)(batch(rows[k:k + of]) for k in range(0, len(rows), of)) for m in b.to_pylist()]
+        assert all(len([r for r in m["l"] if r // width == m["x"]]) <= width and len(m["l"]) <= width * (band + 1) for m in sent)
+        sent = sorted(sent, key=lambda m: (m["x"], m["y"]))
+        parts = [pa.RecordBatch.from_pylist(sent[k:k + of], pa.schema([("x", pa.int32()), ("y", pa.int32()), ("l", pa.list_(pa.int32()))])) for k in range(0, len(sent), of)]
+        got = [tuple(p.values()) for b in N._count(width, band, 60, 3)(parts) for p in b.to_pylist()]
+        assert sorted(got) == sorted((*p, n) for p, n in want.items() if n >= 3)
+    assert list(N._deal(4, 2, 60)(iter([batch([])]))) == [] and list(N._count(4, 2, 60, 1)(iter([]))) == []
+    df = spark.createDataFrame([(r, i) for i, r in rows], "g long, i string")
+    monkeypatch.undo()
+    monkeypatch.setattr(N, "BLOCK", 1)
+    monkeypatch.setattr(N, "BAND", 3)
+    made = N.shared_counts(df, "g", "i", 3)
+    assert sorted((r.a, r.b, r.n) for r in made.collect()) == sorted((*p, n) for p, n in want.items() if n >= 3)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()  # no row for a pair before it is counted
+
+
 def test_percentiles_by_ranges(spark):
     rows = [("a", float(i * i % 37)) for i in range(101)] + [("b", 2.5), ("c", None), (None, 1.0), (None, 2.0), ("a", None)]
     df = spark.createDataFrame(rows, "k string, v double")
